@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: UTF-8 bytes that one numpy step handles at a time (a longer text is still one whole step).
 BLOCK_BYTES = 4 << 20
@@ -76,3 +77,17 @@ def texts(arr: pa.Array) -> Iterator[bytes]:
     view = memoryview(data)
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
         yield bytes(view[a:b])
+
+
+#: Labels are learned from documents outside this fold only.
+FOLDS, HELD_OUT = 5, 0
+
+
+def held_out(doc_id):
+    """crc32 of the id as text mod 5 is 0; a null id counts as the empty text, which is held out."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % FOLDS == HELD_OUT
+
+
+def bounded(ids: DataFrame, most: int, seed: int = 0) -> DataFrame:
+    """At most `most` rows, the first by a hash of doc_id: the same ones in each run, spread over all sources."""
+    return ids.orderBy(F.xxhash64("doc_id", F.lit(seed)), *ids.columns).limit(most)
