@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, media, mixing, quality, secrets, simhash, toxicity
+from . import chat, decontam, media, mixing, quality, secrets, simhash, toxicity, warc
 from .common import table
 
 
@@ -30,11 +30,19 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(table(spark, sf_dir, "conversations"))
+
+
 def op7_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", simhash.hex64(rows["fp"]).alias("fingerprint"), "component_id")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,10 +53,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_media_columns": op3_media_columns,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_secret_scan": op5_secret_scan,
+    "op6_chat_format": op6_chat_format,
     "op7_simhash_near_dup": op7_simhash_near_dup,
+    "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
 }
 ORACLES: dict[str, str] = {
     "op1_mix_sources": mixing.ORACLE,
     "op2_decontaminate": decontam.ORACLE,
+    "op6_chat_format": chat.ORACLE,
+    "op8_warc": warc.ORACLE,
 }
