@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, media, mixing, quality, secrets, simhash, toxicity, warc
+from . import chat, decontam, html, media, mixing, quality, secrets, simhash, toxicity, warc
 from .common import table
 
 
@@ -47,6 +47,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_decontaminate": op2_decontaminate,
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash_near_dup": op7_simhash_near_dup,
     "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
+    "op10_html_main_text": op10_html_main_text,
 }
 ORACLES: dict[str, str] = {
     "op1_mix_sources": mixing.ORACLE,
