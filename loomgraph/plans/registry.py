@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import cluster_queries, graph_queries, metric_queries, text_queries, vector_queries  # noqa: F401
+from .base import ORACLES, QUERIES
 
+#: Seeds by shared words, graph propagation from them, and both merged with a dense backfill.
+FLAGSHIP = QUERIES["ret_06_merge_backfill"]
 
-def FLAGSHIP(spark, sf_dir):
-    raise NotImplementedError
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
