@@ -1,8 +1,12 @@
+import sys
+from pathlib import Path
+
 import pytest
 from pyspark.sql import SparkSession
 
-DATA = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+sys.path[:0] = [str(Path(__file__).parent), str(Path(__file__).parent.parent)]
+
+from tests_common import DATA, TABLES  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -25,17 +29,3 @@ def duck():
     for t in TABLES:
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
     return c
-
-
-def rows_of(columns, rows):
-    """Rows in an order of their own, columns by name, floats to six digits."""
-    order = sorted(range(len(columns)), key=lambda i: columns[i])
-    norm = lambda v: round(v, 6) + 0.0 if isinstance(v, float) else v
-    return sorted(repr(tuple(norm(r[i]) for i in order)) for r in rows)
-
-
-def same(duck, df, sql):
-    got = duck.execute(sql)
-    names = [x[0] for x in got.description]
-    assert sorted(df.columns) == sorted(names)
-    assert rows_of(df.columns, df.collect()) == rows_of(names, got.fetchall())

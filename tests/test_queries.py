@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import DATA, same
+from tests_common import DATA, same
 from loomgraph.plans import registry
 
 #: Nothing of this kind in the smallest tables.
