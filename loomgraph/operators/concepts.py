@@ -118,7 +118,7 @@ def attributes(rows: DataFrame, group: str, n: int = 5, stop: tuple[str, ...] =
     w = F.lower("word")
     ok = ~w.isin(*stop) & ~w.isin(*role_stop) & ~T.stem("word").isin(*role_stop) & (T.stem("word") != T.stem("own"))
     best = [F.desc("score"), F.col("word")]
-    one = rows.filter(ok).withColumn("key", T.dedupe_stem("word")).withColumn("one", F.row_number().over(Window.partitionBy(group, "key").orderBy(*best))).filter("one = 1")
+    one = rows.filter(ok).withColumn("__form", T.dedupe_stem("word")).withColumn("one", F.row_number().over(Window.partitionBy(group, "__form").orderBy(*best))).filter("one = 1")
     return one.withColumn("rk", F.row_number().over(Window.partitionBy(group).orderBy(*best))).filter(F.col("rk") <= n).select(group, "word", "rk")
 
 

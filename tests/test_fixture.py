@@ -135,3 +135,31 @@ def test_whitening_decorrelates():
 def test_knn_blocks_agree(two_groups):
     one, many = (V.knn(two_groups, two_groups, 3, block=b).orderBy("qid", "rk").collect() for b in (1000, 7))
     assert one == many
+
+
+def test_fallbacks(spark):
+    from loomgraph.operators import readout as D
+
+    s = "chunk_id string, word string, score double"
+    strict = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 0.5), ("b", "x", 1.0)], s)
+    relaxed = spark.createDataFrame([("a", "z", 9.0), ("b", "x", 1.0), ("b", "w", 0.1)], s)
+    single = spark.createDataFrame([("b", "v", 1.0), ("c", "u", 1.0)], s)
+    got = {(r["chunk_id"], r["word"]): r["tier"] for r in D.with_fallbacks(strict, relaxed, single).collect()}
+    assert got == {("a", "x"): 0, ("a", "y"): 0, ("b", "x"): 0, ("b", "w"): 1, ("c", "u"): 2}
+
+
+def test_readout_pieces(spark):
+    from loomgraph.operators import readout as D
+
+    tree = spark.createDataFrame([("0", None), ("1", "0"), ("2", "0"), ("3", "1")], "node string, parent string")
+    assert D.tree_report(tree).first().asDict() == {"nodes": 4, "depth": 2, "leaves": 2}
+    assert D.outline('class A(B):\n    """Doc."""\n    def f(self, x=1): pass\n') == "class A(B): Doc.\n  function f(self, x=1)"
+    v = spark.createDataFrame([([1.0, 1.0], [0.0, 1.0], [1.0, 0.0])], "b array<double>, d array<double>, t array<double>")
+    assert D.best_shift(v, "b", "d", "t").first()["alpha"] == pytest.approx(1.0)
+    assert D.prefix_offsets(v, "d", "t").first()["offset"] == pytest.approx(1.0)
+    m = spark.createDataFrame([("c", [1.0, 3.0]), ("c", [3.0, 5.0])], "concept string, vector array<double>")
+    assert D.mean_vectors(m).first()["vector"] == [2.0, 4.0]
+    spans = spark.createDataFrame([("1", "a b"), ("1", "nasa"), ("1", "dog"), ("1", "zog")], "chunk_id string, span string")
+    caps = spark.createDataFrame([("nasa", True, 0), ("dog", False, 1), ("zog", False, 1)], "span string, caps boolean, inner_caps int")
+    words = spark.createDataFrame([("dog",)], "word string")
+    assert {r["span"] for r in D.single_entities(spans, caps, words).collect()} == {"a b", "nasa", "zog"}
