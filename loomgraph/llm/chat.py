@@ -25,7 +25,7 @@ from .common import BLOCK_BYTES, utf8
 OPEN, MID, CLOSE = "<|turn|>", "\n", "<|end|>\n"
 LOSS_ROLE = "assistant"
 #: Control strings after their first character, which is < or [ for all of them: this template's and other common ones.
-_TAILS = r"(?:\|[A-Za-z_]+\|>|/?s>|/?INST\]|</?SYS>>|/?SYS>>)"
+_TAILS = r"(?:\|[A-Za-z_]+\|>|/?s>|/?INST\]|/?SYS>>)"
 _CONTROL = re.compile(r"([<\[])(\\*)(?=" + _TAILS + ")")
 _ESCAPED = re.compile(r"([<\[])\\(\\*)(?=" + _TAILS + ")")
 
@@ -199,7 +199,7 @@ WITH t AS (
 ), g AS (
   SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS body,
          coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
-         sum(17 + length(role) + length(regexp_replace(text, '([<\[])(\\*)((?:\|[A-Za-z_]+\|>|/?s>|/?INST\]|</?SYS>>|/?SYS>>))', '\1\\\2\3', 'g'))) AS n
+         sum(17 + length(role) + length(regexp_replace(text, '([<\[])(\\*)((?:\|[A-Za-z_]+\|>|/?s>|/?INST\]|/?SYS>>))', '\1\\\2\3', 'g'))) AS n
   FROM t GROUP BY conv_id
 )
 SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(body) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, n::BIGINT AS formatted_chars FROM g
