@@ -1,10 +1,10 @@
 """Near-duplicate removal at a set similarity of word shingles, for the corpus pipeline.
 
 At a Jaccard similarity of 0.8, two texts' SimHash fingerprints differ by about ten bits of 64, and no index finds such pairs in
-a large corpus. So the fingerprints of five-word shingles and their Gray-order index (see simhash) give the closest
-pairs, and bands of min-wise hashes of the same shingles bring the others together; both only propose. Each proposed pair is
-then held against the similarity of its shingle sets, from sketches of each text's SKETCH smallest shingle hashes: exact for
-texts with no more shingles than that, with a standard error of 0.025 at most beyond.
+a large corpus. So the fingerprints of five-word shingles and their Gray-order index (see simhash) bring the closest texts
+together, and bands of min-wise hashes of the same shingles the others; both only say which texts may be related. Texts that are
+related over any number of steps are a family. Each text goes to its family's task once (to one task for each pair of chunks, if
+the family is large), where the shingle sets themselves decide all links at the similarity; spanning edges of these leave it.
 """
 
 from __future__ import annotations
@@ -13,19 +13,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from .common import stored, texts
-from .simhash import components, fingerprint, links, shingle_hashes
+from .simhash import _union, components, fingerprint, links, shingle_hashes
 
 WORDS, SIMILARITY = 5, 0.8
-#: Bands of ROWS min-wise hashes each: a pair at 0.8 meets in none of them with a probability of 0.0001.
-BANDS, ROWS = 24, 5
-SKETCH = 256
-#: Partners proposed for each text that are held against it: those it met in most bands.
-PARTNERS = 3
+#: Bands of ROWS min-wise hashes each: a pair at 0.8 meets in none of them with a probability of 0.0001, one at 0.3 in any with 0.01.
+BANDS, ROWS = 40, 7
+#: Texts of a family beyond which it is split into chunks.
+MOST = 512
 
 _rng = np.random.default_rng(20240607)
 _FACTORS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -44,80 +43,116 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return (keys ^ (keys >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
 
 
-SKETCHED = "struct<fp:long,n:int,bands:array<long>,least:array<int>>"
-
-
-def _sketch_column(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
+def _marks(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in column:
-        fps, sizes, bands, least = [], [], [], []
+        fps, bands = [], [np.zeros(0, np.uint64)]
         for t in texts(batch):
             h = shingle_hashes(t, WORDS)
             fps.append(fingerprint(h))
-            h = np.unique(h)
-            sizes.append(len(h))
-            bands.append(band_keys(h).view(np.int64))
-            short = np.unique((h >> np.uint64(32)).astype(np.int64) - (1 << 31))
-            least.append(short[:SKETCH].astype(np.int32))
-        cut = np.concatenate([[0], np.cumsum([len(x) for x in least])])
-        yield pa.StructArray.from_arrays(
-            [
-                pa.array(np.array(fps, np.uint64).view(np.int64)),
-                pa.array(sizes, pa.int32()),
-                pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1) * BANDS, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *bands]))),
-                pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *least]))),
-            ],
-            names=["fp", "n", "bands", "least"],
-        )
-
-
-def similarity(a: str, b: str):
-    """Jaccard similarity of two sketches (columns `{a}n`, `{a}least` ...): of their parts below what both hold in full."""
-    end = lambda s: F.when(F.col(f"{s}n") > SKETCH, F.array_max(f"{s}least")).otherwise(F.lit(2147483647))
-    limit = F.least(end(a), end(b))
-    x, y = (F.filter(F.col(f"{s}least"), lambda v: v <= limit) for s in (a, b))
-    both = F.size(F.array_intersect(x, y))
-    return F.when(F.size(x) + F.size(y) == 0, F.lit(1.0)).otherwise(both / (F.size(x) + F.size(y) - both))
-
-
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(contents, roots): stored rows (content, id, doc_id) of the distinct texts with the smallest doc_id of each, and
-    (node, root) for the ids of texts that have a near duplicate."""
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("content"), F.col(text_col).alias("text"))
-    rows = keyed.select("doc_id", "content", arrow_udf(_sketch_column, SKETCHED)("text").alias("s"))
-    rows = stored(rows.select("doc_id", "content", "s.fp", "s.n", "s.bands", "s.least"), "sketches")
-    once = rows.groupBy("content").agg(F.min("doc_id").alias("doc_id"))
-    contents = stored(once.withColumn("id", F.monotonically_increasing_id()), "contents")
-    # One row of sketches for each distinct text; rows of the same text have the same.
-    texts_ = stored(rows.drop("doc_id").dropDuplicates(["content"]).join(contents.select("content", "id"), "content").drop("content"), "texts")
-    banded = texts_.select("id", F.explode("bands").alias("key"))
-    centre = F.min(F.struct(F.xxhash64("id", "key").alias("h"), F.col("id").alias("c")))["c"]
-    met = banded.groupBy("key").agg(F.min("id").alias("c1"), centre.alias("c2"), F.count("*").alias("m")).filter("m > 1").drop("m")
-    pairs = banded.join(met, "key").select("id", F.explode(F.array("c1", "c2")).alias("other")).filter("id <> other")
-    # SimHash links: a spanning edge stands for the first texts of its two fingerprints, and those of one fingerprint meet in its first.
-    first = stored(texts_.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("m")), "prints")
-    same = texts_.select("fp", "id").join(first.filter("m > 1"), "fp").filter("id <> first").select("id", F.col("first").alias("other"))
+            bands.append(band_keys(np.unique(h)))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1) * BANDS, pa.int32()), pa.array(np.concatenate(bands).view(np.int64)))
+        yield pa.StructArray.from_arrays([pa.array(np.array(fps, np.uint64).view(np.int64)), lists], names=["fp", "bands"])
+
+
+def linked(sets: list[np.ndarray], least: float) -> np.ndarray:
+    """A label for each set (its elements sorted and distinct): the least place in its component under a Jaccard
+    similarity of `least`; two empty sets are equal.
+
+    Elements of one set alone only count for its size; the others are columns of a bit matrix. Every set outside the largest
+    component so far is compared with all outside its own, so no two components stay apart unseen.
+    """
+    n = len(sets)
+    size = np.array([len(s) for s in sets])
+    flat = np.concatenate([np.zeros(0, np.uint64), *sets])
+    owner = np.repeat(np.arange(n), size)
+    _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = count > 1
+    place = np.cumsum(shared) - 1
+    keep = shared[column]
+    column, owner = place[column[keep]], owner[keep]
+    bits = np.zeros((n, int(shared.sum()) // 64 + 1), np.uint64)
+    np.bitwise_or.at(bits, (owner, column // 64), np.uint64(1) << (column % 64).astype(np.uint64))
+    label, done = np.arange(n), np.zeros(n, bool)
+    while True:
+        largest = np.bincount(label, minlength=n).argmax()
+        todo = np.flatnonzero(~done & (label != largest))
+        if not len(todo):
+            return label
+        i = int(todo[0])
+        done[i] = True
+        fits = (label != label[i]) & (np.minimum(size, size[i]) >= least * np.maximum(size, size[i]))
+        j = np.flatnonzero(fits)
+        both = np.bitwise_count(bits[j] & bits[i]).sum(1, dtype=np.int64)
+        every = size[j] + size[i] - both
+        j = j[(both >= least * every - 1e-9) | (every == 0)]
+        label = _union(label, np.full(len(j), i), j)
+
+
+def _family_edges(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Rows (family, pair, id, text), sorted by family and pair -> spanning edges (a, b)."""
+
+    def done(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch | None:
+        if len(ids) < 2:
+            return None
+        label = linked(sets, least)
+        b = np.flatnonzero(label != np.arange(len(ids)))
+        own = np.array(ids)
+        return pa.RecordBatch.from_arrays([pa.array(own[label[b]]), pa.array(own[b])], names=["a", "b"]) if len(b) else None
+
+    key, ids, sets = None, [], []
+    for batch in batches:
+        for k, i, t in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), batch.column(2).to_pylist(), texts(batch.column(3))):
+            if k != key:
+                out = done(ids, sets)
+                if out is not None:
+                    yield out
+                key, ids, sets = k, [], []
+            ids.append(i)
+            sets.append(np.unique(shingle_hashes(t, WORDS)))
+    out = done(ids, sets)
+    if out is not None:
+        yield out
+
+
+def related(marks: DataFrame) -> DataFrame:
+    """(a, b): edges between texts (id, fp, bands) that share a band's key or whose fingerprints link; each key's
+    texts meet in its first one, so a key of any size has as many edges as texts."""
+    banded = marks.select("id", F.explode("bands").alias("key"))
+    met = banded.groupBy("key").agg(F.min("id").alias("other"), F.count("*").alias("m")).filter("m > 1").select("key", "other")
+    pairs = banded.join(met, "key").select("id", "other").filter("id <> other").distinct()
+    first = stored(marks.groupBy("fp").agg(F.min("id").alias("first")), "prints")
+    same = marks.select("fp", "id").join(first, "fp").filter("id <> first").select("id", F.col("first").alias("other"))
     close = links(first.select("fp"))
     close = close.join(first.select(F.col("fp").alias("a"), F.col("first").alias("other")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("id")), "b").select("id", "other")
-    times = pairs.groupBy("id", "other").agg(F.count("*").alias("times")).union(same.union(close).distinct().withColumn("times", F.lit(2 * BANDS).cast("long")))
-    times = times.groupBy("id", "other").agg(F.sum("times").alias("times"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("times"), F.xxhash64("other", "id"), "other"))
-    tried = stored(times.withColumn("rank", rank).filter(F.col("rank") <= PARTNERS).select("id", "other"), "tried")
-    mine = texts_.select("id", F.col("n").alias("a_n"), F.col("least").alias("a_least"))
-    its = texts_.select(F.col("id").alias("other"), F.col("n").alias("b_n"), F.col("least").alias("b_least"))
-    held = tried.join(mine, "id").join(its, "other").filter(similarity("a_", "b_") >= least)
-    return contents, components(held.select(F.col("id").alias("a"), F.col("other").alias("b")))
+    return pairs.union(same).union(close).select(F.col("id").alias("a"), F.col("other").alias("b"))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, most: int = MOST) -> DataFrame:
     """docs with one row of each group of near duplicates: that of the smallest id (a null one only if all are null).
 
     Exact copies are near duplicates, also of texts without words, which are all alike. Of rows that share the smallest id and
-    its text, one stays. All columns of docs stay as they are.
+    its text, one stays. All columns of docs stay as they are. Texts without relatives are not moved again once that is known.
     """
-    contents, roots = groups(docs, id_col, text_col, least)
-    named = contents.join(roots, contents["id"] == roots["node"], "left").select("content", "id", "doc_id", F.coalesce("root", "id").alias("root"))
-    stays = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("id").alias("id"), F.col("content").alias("content"))).alias("s"))
-    stays = stays.select(F.col("s.doc_id").alias("__id"), F.col("s.content").alias("__content"))
-    d = docs.withColumn("__of", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    kept = d.join(stays, (F.col("__of") == F.col("__content")) & F.col(id_col).eqNullSafe(F.col("__id")))
-    return kept.dropDuplicates(["__content", "__id"]).select(*docs.columns)
+    base = docs.drop("__of", "__id", "__n", "__family")
+    key = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    rows = base.select(key.alias("of"), F.col(text_col).alias("text")).select("of", arrow_udf(_marks, "struct<fp:long,bands:array<long>>")("text").alias("s"))
+    marks = rows.groupBy("of").agg(F.first("s").alias("s"), F.count("*").alias("n")).select("of", "n", "s.*")
+    marks = stored(marks.withColumn("id", F.monotonically_increasing_id()), "marks")
+    family = components(related(marks), "related").select(F.col("node").alias("id"), F.col("root").alias("family"))
+    known = marks.select("of", "id", "n").join(family, "id", "left").filter("n > 1 or family is not null").select(F.col("of").alias("__of"), F.col("id").alias("__id"), F.col("family").alias("__family"))
+    tagged = stored(base.withColumn("__of", key).join(known, "__of", "left"), "tagged")
+    alone, some = tagged.filter("__id is null"), tagged.filter("__id is not null")
+    # Each text of a family once, in as many tasks as its family has chunks.
+    size = stored(family.groupBy("family").agg(F.ceil(F.count("*") / most).cast("int").alias("chunks")).filter("chunks > 1"), "families")
+    once = some.filter("__family is not null").select(F.col("__family").alias("family"), F.col("__id").alias("id"), F.col(text_col).alias("text")).dropDuplicates(["id"])
+    once = once.join(size, "family", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    chunk = F.pmod(F.xxhash64("id"), F.col("chunks"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.least(j, chunk).cast("long") * 65536 + F.greatest(j, chunk))
+    once = once.select("family", F.explode(pairs).alias("pair"), "id", "text")
+    edges = once.repartition("family", "pair").sortWithinPartitions("family", "pair", "id").mapInArrow(lambda b: _family_edges(b, least), "a long, b long")
+    roots = components(edges, "linked").select(F.col("node").alias("__id"), F.col("root").alias("__root"))
+    named = some.select(F.col(id_col).alias("d"), "__id", "__of").join(roots, "__id", "left").withColumn("__root", F.coalesce("__root", "__id"))
+    order = F.struct(F.col("d").isNull().alias("none"), F.col("d").alias("d"), F.col("__of").alias("of"))
+    stays = named.groupBy("__root").agg(F.min(order).alias("s")).select(F.col("s.d").alias("__d"), F.col("s.of").alias("__stays"))
+    kept = some.join(stays, (F.col("__of") == F.col("__stays")) & F.col(id_col).eqNullSafe(F.col("__d"))).dropDuplicates(["__stays", "__d"])
+    return alone.select(*docs.columns).union(kept.select(*docs.columns))
