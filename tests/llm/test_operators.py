@@ -222,7 +222,7 @@ def test_secret_odd(spark, odd):
     assert (got[7]["n_assign"], got[7]["n_access"], got[7]["n_hex"]) == (2, 1, 1) and got[10]["n_assign"] == 0 and got[2]["spans"] == ""
     red = secrets.redact(odd)
     assert red.columns == odd.columns and red.count() == odd.count()
-    assert red.filter("doc_id = 7").first()["text"] == "é [assign] [access] [assign]"
+    assert red.filter("doc_id = 7").first()["text"] == 'é [assign]" [access] [assign]'
 
 
 def test_ledger_is_incremental(spark, tmp_path):
