@@ -18,6 +18,7 @@ def _docs(spark, d):
 
 WORDS = TOKENS + ", vocab AS (SELECT word, sum(tf)::BIGINT AS tf, count(*) AS df FROM tokens GROUP BY 1)"
 STEM = "CASE WHEN length({w}) > 4 AND {w} LIKE '%ies' THEN left({w}, length({w}) - 3) || 'y' WHEN length({w}) > 4 AND {w} LIKE '%es' THEN left({w}, length({w}) - 2) WHEN length({w}) > 3 AND {w} LIKE '%s' THEN left({w}, length({w}) - 1) ELSE {w} END"
+ROLE_SQL = "(" + ", ".join(f"'{w}'" for w in T.ROLE_STOP) + ")"
 POS = r"""CASE WHEN length({w}) < 3 THEN 'SHORT' WHEN {w} LIKE '%ing' AND length({w}) > 4 THEN 'VBG' WHEN {w} LIKE '%ed' AND length({w}) > 3 AND {w} NOT LIKE '%eed' THEN 'VBD'
  WHEN regexp_matches({w}, '(tion|ment|ness|ity|sion|osis|oma|ism|ist|logy|pathy|emia|uria|graphy|plasia|rrhea|cy|ce|cracy|hood|ship|dom)$') THEN 'NN'
  WHEN {w} LIKE '%s' AND NOT regexp_matches({w}, '(ss|us|is|os|xs)$') THEN 'NNS' WHEN regexp_matches({w}, '..+.(ful|less|ous|ive|able|ible|ical|ish|like|most|ward)$') THEN 'JJ'
@@ -251,7 +252,7 @@ def _(spark, d):
 
 
 @query("flt_07_attributes", "WITH " + CONCEPTS + f""", st AS (SELECT chunk_id, concept, tf, {STEM.format(w='concept')} AS s FROM cc), lead AS (SELECT chunk_id, arg_max(s, {{'tf': tf, 'c': concept}}) AS s FROM st GROUP BY 1),
-i AS (SELECT st.chunk_id, st.concept, st.tf, CASE WHEN length(st.s) > 6 AND st.s LIKE '%ing' THEN left(st.s, length(st.s) - 3) ELSE st.s END AS k FROM st JOIN lead USING (chunk_id) WHERE st.s <> lead.s),
+i AS (SELECT st.chunk_id, st.concept, st.tf, CASE WHEN length(st.s) > 6 AND st.s LIKE '%ing' THEN left(st.s, length(st.s) - 3) ELSE st.s END AS k FROM st JOIN lead USING (chunk_id) WHERE st.s <> lead.s AND st.concept NOT IN {ROLE_SQL} AND st.s NOT IN {ROLE_SQL}),
 k AS (SELECT chunk_id, concept, tf, {_DED.format(w='k')} AS k FROM i),
 f AS (SELECT *, row_number() OVER (PARTITION BY chunk_id, k ORDER BY tf DESC, concept) AS one FROM k)
 SELECT chunk_id, concept, rk FROM (SELECT chunk_id, concept, row_number() OVER (PARTITION BY chunk_id ORDER BY tf DESC, concept) AS rk FROM f WHERE one = 1) WHERE rk <= 3""")

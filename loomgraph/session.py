@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,3 +44,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = f"{scratch(df.sparkSession)}/loomgraph/{uuid.uuid4().hex}/{label}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package's source to the executors, once a context, so that they need no copy of it of their own."""
+    sc = spark.sparkContext
+    if getattr(sc, "_loomgraph_shipped", False):
+        return spark
+    root = Path(__file__).resolve().parent
+    handle, path = tempfile.mkstemp(prefix="loomgraph-", suffix=".zip")
+    os.close(handle)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(path)
+    sc._loomgraph_shipped = True
+    return spark
