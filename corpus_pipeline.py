@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm import decontam, mixing, neardup, quality, secrets
 from loomgraph.llm.common import scratch_path, table
+from loomgraph.session import ship
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,6 +22,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8), that of the smallest id."""
+    ship(spark)
     return neardup.deduplicate(docs)
 
 
@@ -31,6 +33,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with each secret in their texts replaced by its kind; n_chars follows the text."""
+    ship(spark)
     out = secrets.redact(docs)
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
 
