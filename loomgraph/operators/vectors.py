@@ -62,8 +62,8 @@ def _vector_blocks(vectors: DataFrame, id_col: str, vec_col: str, block: int) ->
 def knn(queries: DataFrame, corpus: DataFrame, k: int, q_id: str = "vec_id", q_vec: str = "embedding", c_id: str = "vec_id", c_vec: str = "embedding", least: float | None = None, block: int = BLOCK) -> DataFrame:
     """(qid, id, score, rk): each query's k most similar rows by cosine, ties by id; of at least `least` if that is given.
 
-    Queries are broadcast in blocks of a fixed size; every Arrow batch of the corpus is one matrix product a block and
-    sends on its best k a query, which a window then merges.
+    Queries are broadcast in blocks of a fixed size; every Arrow batch of the corpus is one matrix product a block. A
+    partition keeps its best k a query and sends those on, and a window merges the partitions'.
     """
     spark = corpus.sparkSession
     rows = corpus.select(F.col(c_id).alias("id"), F.col(c_vec).alias("v")).filter(F.col("v").isNotNull())
@@ -76,20 +76,23 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, q_id: str = "vec_id", q_v
 
         def best(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             qids, q = held.value
+            score, ids_ = np.zeros((len(q), 0)), None
             for batch in batches:
                 if not batch.num_rows:
                     continue
+                kind = batch.column(0).type
                 s = np.round(q @ _units(_matrix(batch.column(1), q.shape[1])).T, DIGITS)
                 names = np.asarray(batch.column(0).to_pylist())
-                by_id = np.argsort(names, kind="stable")
-                order = by_id[np.argsort(-s[:, by_id], axis=1, kind="stable")[:, :k]]
-                qi = np.repeat(np.arange(len(q)), order.shape[1])
-                ci = order.ravel()
-                score = s[qi, ci]
-                if least is not None:
-                    ok = score >= least
-                    qi, ci, score = qi[ok], ci[ok], score[ok]
-                yield pa.RecordBatch.from_arrays([qids.take(pa.array(qi)), batch.column(0).take(pa.array(ci)), pa.array(score)], names=["qid", "id", "score"])
+                every = np.concatenate([score, s], axis=1)
+                own = np.broadcast_to(names, s.shape) if ids_ is None else np.concatenate([ids_, np.broadcast_to(names, s.shape)], axis=1)
+                place = np.unique(own, return_inverse=True)[1].reshape(own.shape)
+                order = np.lexsort((place, -every), axis=1)[:, :k]
+                score, ids_ = np.take_along_axis(every, order, 1), np.take_along_axis(own, order, 1)
+            if ids_ is None:
+                return
+            qi = np.repeat(np.arange(len(q)), score.shape[1])
+            ok = np.ones(len(qi), bool) if least is None else score.ravel() >= least
+            yield pa.RecordBatch.from_arrays([qids.take(pa.array(qi[ok])), pa.array(ids_.ravel()[ok].tolist(), kind), pa.array(score.ravel()[ok])], names=["qid", "id", "score"])
 
         parts.append(rows.mapInArrow(best, schema))
     if not parts:

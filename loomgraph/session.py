@@ -60,3 +60,9 @@ def ship(spark: SparkSession) -> SparkSession:
     sc.addPyFile(path)
     sc._loomgraph_shipped = True
     return spark
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes the tables that stored() has written; results that still read them must have been saved."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch(spark)}/loomgraph")
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
