@@ -23,8 +23,8 @@ from .simhash import _union, components, fingerprint, links, shingle_hashes
 WORDS, SIMILARITY = 5, 0.8
 #: Bands of ROWS min-wise hashes each: a pair at 0.8 meets in none of them with a probability of 0.0001, one at 0.3 in any with 0.01.
 BANDS, ROWS = 40, 7
-#: Texts of a family beyond which it is split into chunks.
-MOST = 512
+#: Texts in a chunk of a family that is split: four times the root of the family's size, within these.
+LEAST_CHUNK, MOST_CHUNK = 128, 4096
 
 _rng = np.random.default_rng(20240607)
 _FACTORS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -127,7 +127,7 @@ def related(marks: DataFrame) -> DataFrame:
     return pairs.union(same).union(close).select(F.col("id").alias("a"), F.col("other").alias("b"))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, most: int = MOST) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """docs with one row of each group of near duplicates: that of the smallest id (a null one only if all are null).
 
     Exact copies are near duplicates, also of texts without words, which are all alike. Of rows that share the smallest id and
@@ -143,7 +143,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tagged = stored(base.withColumn("__of", key).join(known, "__of", "left"), "tagged")
     alone, some = tagged.filter("__id is null"), tagged.filter("__id is not null")
     # Each text of a family once, in as many tasks as its family has chunks.
-    size = stored(family.groupBy("family").agg(F.ceil(F.count("*") / most).cast("int").alias("chunks")).filter("chunks > 1"), "families")
+    n = F.count("*")
+    chunks = F.ceil(n / F.greatest(F.lit(LEAST_CHUNK), F.least(F.lit(MOST_CHUNK), 4 * F.sqrt(n)))).cast("int")
+    size = stored(family.groupBy("family").agg(chunks.alias("chunks")).filter("chunks > 1"), "families")
     once = some.filter("__family is not null").select(F.col("__family").alias("family"), F.col("__id").alias("id"), F.col(text_col).alias("text")).dropDuplicates(["id"])
     once = once.join(size, "family", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     chunk = F.pmod(F.xxhash64("id"), F.col("chunks"))

@@ -349,12 +349,16 @@ def test_fingerprint_brute(spark, odd):
     assert simhash.near_duplicates(odd.filter("false")).count() == 0
 
 
-def test_deduplicate_brute(spark, odd):
+@pytest.mark.parametrize("chunk", [None, 1])
+def test_deduplicate_brute(spark, odd, chunk, monkeypatch):
+    """chunk: families are split from this size on."""
+    if chunk:
+        monkeypatch.setattr(neardup, "LEAST_CHUNK", chunk)
     rng = np.random.default_rng(11)
     rows, i = [], 0
-    for _ in range(20):
+    for g in range(20):
         w = [f"v{x}" for x in rng.integers(0, 5000, 120)]
-        for k in (0, 0, 1, 2, 12):
+        for k in (0, 0, 1, 2, 12) if g else [int(x) for x in rng.integers(0, 6, 60)]:
             x = list(w)
             for p in rng.choice(120, k, replace=False):
                 x[p] = f"n{rng.integers(0, 10**6)}"
