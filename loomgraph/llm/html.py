@@ -4,8 +4,10 @@ The pages of a host are merged into one style tree. Each of its nodes is a path
 and id); below it stand the contents that pages have there. For a node on m pages, the entropy of a content over
 these pages, to the base m, says how evenly it repeats, and one less its mean over the node's distinct contents is the
 node's content importance; likewise the entropy of the child sequences that pages show at a node is its presentation
-importance. A branch whose composite importance is low is noise: menus and adverts come again and again with the same children
-and contents, articles do not. Hosts with few pages take their figures from the tree of all hosts.
+importance. A node's text is noise where their composite is low: menus and adverts come again and again with the same children
+and contents, articles do not. A branch is noise only if all in it is: its importance is the largest of its own contents' and its
+children's, and so repeated text beside an article never takes the article with it. Equal pages of a host count once. Hosts with
+few pages take their figures from the tree of all hosts.
 
 Elements whose meaning HTML itself gives outrank the tree: scripts, menus, footers and forms never hold main text,
 and what stands in an article is never removed for being repeated elsewhere.
@@ -20,7 +22,7 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -57,7 +59,6 @@ class Node:
     path: int  # hash of the elements from the root with their presentation
     noise: bool
     main: bool
-    ancestors: tuple[int, ...]  # paths from the root, its own last
     children: list[str] = field(default_factory=list)
 
 
@@ -92,7 +93,7 @@ def parse(source: str) -> tuple[list[Block], list[Node]]:
     Unclosed and crossing elements are closed as HTML closes them: a paragraph ends where a block starts, an end tag closes
     what is open inside its element, and one without a start is left out.
     """
-    root = Node("#root", 0, False, False, (0,))
+    root = Node("#root", 0, False, False)
     stack, nodes, out = [root], [root], []
     text: list[str] = []
     at, n = 0, len(source)
@@ -159,10 +160,10 @@ def parse(source: str) -> tuple[list[Block], list[Node]]:
         if tag in INLINE:
             if noise and not parent.noise:
                 flush()
-            node = Node(tag if not noise else "noise", parent.path, parent.noise or noise, parent.main, parent.ancestors)
+            node = Node(tag if not noise else "noise", parent.path, parent.noise or noise, parent.main)
         else:
             path = xxhash.xxh64_intdigest(f"{parent.path}/{mark}", 0) >> 1
-            node = Node(tag, path, parent.noise or noise, parent.main or main, (*parent.ancestors, path))
+            node = Node(tag, path, parent.noise or noise, parent.main or main)
             nodes.append(node)
         if m[3].rstrip().endswith("/") and tag not in INLINE:
             continue
@@ -180,6 +181,11 @@ def host_of(url: str | None) -> str:
     return m[1].rpartition("@")[2].lower() if m else ""
 
 
+def host_column(url: str) -> Column:
+    """host_of() of a column."""
+    return F.lower(F.regexp_replace(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1), "^.*@", ""))
+
+
 def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text, 0) >> 1
 
@@ -187,7 +193,7 @@ def _hash(text: str) -> int:
 def style_tree(pages: DataFrame) -> DataFrame:
     """(host, path, importance, pages) of every node of each host's tree, and of the tree of all hosts (host *).
 
-    pages: url, html. A page counts once for a node and once for each of its distinct contents. Contents are counted as
+    pages: url, html. Pages of a host with the same html count once. A page counts once for a node and once for each of its distinct contents. Contents are counted as
     they come, by host, path and content, and so no task holds a host.
     """
 
@@ -209,7 +215,9 @@ def style_tree(pages: DataFrame) -> DataFrame:
             keys = list(count)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([k[2] for k in keys], pa.int32()), pa.array([k[3] for k in keys], pa.int64()), pa.array([count[k] for k in keys], pa.int64())], names=["host", "path", "kind", "content", "n"])
 
-    found = pages.select("url", "html").mapInArrow(occurrences, "host string, path long, kind int, content long, n long")
+    # Only digests are compared; each of a host's different pages is dealt by its own.
+    once = pages.select("url", "html", host_column("url").alias("host"), F.md5(F.coalesce("html", F.lit(""))).alias("digest")).dropDuplicates(["host", "digest"])
+    found = once.select("url", "html").mapInArrow(occurrences, "host string, path long, kind int, content long, n long")
     found = found.groupBy("host", "path", "kind", "content").agg(F.sum("n").alias("n"))
     # Sums by content: n of them, sum of log n, sum of n log n. The entropy of a content on n of m pages is log n / log m.
     per = found.groupBy("host", "path").agg(
@@ -227,14 +235,14 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
 
 def extract(source: str, low: frozenset[int] | set[int]) -> str:
-    """The main text of a page; low: paths whose branches the style tree removes."""
+    """The main text of a page; low: paths whose own text the style tree removes, not that of the nodes below them."""
     blocks_, _ = parse(source)
-    kept = [b.text for b in blocks_ if not b.node.noise and (b.node.main or not any(p in low for p in b.node.ancestors))]
+    kept = [b.text for b in blocks_ if not b.node.noise and (b.node.main or b.node.path not in low)]
     return " ".join(kept)
 
 
 def low_paths(tree: DataFrame, least_pages: int = LEAST_PAGES, least: float = LEAST_IMPORTANCE) -> DataFrame:
-    """(host, low): the paths that each host's pages lose. A node on fewer than least_pages of a host's pages has the
+    """(host, low): the paths whose own text each host's pages lose. A node on fewer than least_pages of a host's pages has the
     importance that its path has over all hosts."""
     own, every = tree.filter(F.col("host") != EVERY_HOST).alias("o"), tree.filter(F.col("host") == EVERY_HOST).alias("e")
     both = own.filter("leaf").join(every, F.col("o.path") == F.col("e.path"))
@@ -245,14 +253,12 @@ def low_paths(tree: DataFrame, least_pages: int = LEAST_PAGES, least: float = LE
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES) -> DataFrame:
     """One row per page: page_id, url, text (empty if none), n_chars.
 
-    A null page is an empty one; one without a host shares the tree of the host "". Repeated rows each have a row and count
-    as pages of their own. Other columns are ignored.
+    A null page is an empty one; one without a host shares the tree of the host "". Repeated rows each have a row, and
+    count as one page. Other columns are ignored.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     low = stored(low_paths(stored(style_tree(rows), "styletree"), least_pages), "lowpaths")
-    # The same host as host_of() has.
-    rows = rows.withColumn("host", F.lower(F.regexp_replace(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1), "^.*@", "")))
-    joined = rows.join(low, "host", "left").select("page_id", "url", "html", "low")
+    joined = rows.withColumn("host", host_column("url")).join(low, "host", "left").select("page_id", "url", "html", "low")
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

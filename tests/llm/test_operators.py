@@ -427,6 +427,13 @@ def test_style_tree_drops_templates(spark):
     assert got == {i: f"Story number {i} is told here" for i in range(60)}
 
 
+def test_style_tree_keeps_what_stands_in_repeated_text(spark):
+    rows = [(i, f"http://h/{i}", f"<body>Home | About<h1>Title {i}</h1><p>Only page {i} has this text</p></body>") for i in range(30)]
+    rows += [(100 + i, "http://copies/", "<div><p>The same article in every copy</p></div>") for i in range(40)]
+    got = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Title {i} Only page {i} has this text" for i in range(30)} | {100 + i: "The same article in every copy" for i in range(40)}
+
+
 def test_html_odd(spark):
     df = spark.createDataFrame([(1, None, None), (2, "http://h/", ""), (3, "http://h/", "<article>" + "long word " * 50_000), (3, "http://h/", "<p>x</p>"), (None, "u", "<p>漢</p>")], "page_id long, url string, html string")
     got = sorted((r["page_id"] or 0, r["n_chars"]) for r in html.main_text(df).collect())
