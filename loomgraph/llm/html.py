@@ -9,8 +9,12 @@ and contents, articles do not. A branch is noise only if all in it is: its impor
 children's, and so repeated text beside an article never takes the article with it. Equal pages of a host count once. Hosts with
 few pages take their figures from the tree of all hosts.
 
-Elements whose meaning HTML itself gives outrank the tree: scripts, menus, footers and forms never hold main text,
+Elements whose meaning HTML itself gives outrank the tree: scripts, menus and footers never hold main text,
 and what stands in an article is never removed for being repeated elsewhere.
+
+Words of class, id and role values, and forms, only mark a branch as doubtful: the importance of its nodes is lowered, once for
+standing in it and once more for the marked element's own text. An article or main element inside ends the doubt. Where the tree
+has no figures for a marked node, its text stays if the branch holds half of the page's text or more and no article stands outside.
 """
 
 from __future__ import annotations
@@ -28,12 +32,14 @@ from pyspark.sql import functions as F
 from .common import stored
 
 #: Elements that never hold main text, and those whose raw text is not markup.
-NOISE = frozenset("nav footer aside form script style noscript template iframe object embed svg canvas select button input textarea menu dialog head title".split())
+NOISE = frozenset("nav footer aside script style noscript template iframe object embed svg canvas select button input textarea menu dialog head title".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 MAIN = frozenset("article main".split())
-#: Words of class, id and role values that mark noise, and those that mark main text.
+#: Elements that are doubtful as such: one around a page holds its text, one within a page holds a search or a login.
+DOUBTFUL = frozenset(["form"])
+#: Words of class, id and role values that mark a doubtful branch, and those that mark main text.
 NOISE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside footer foot header masthead topbar cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments disqus replies respond pagination pager widget toolbar search skip".split())
 MAIN_WORDS = frozenset("article articlebody content main post entry story body text".split())
 #: An open element of the key is closed by a start tag of the values.
@@ -43,6 +49,8 @@ SCOPES = frozenset("article aside body div footer form header html main nav sect
 
 #: Pages that a host needs for a tree of its own, the weight of contents in the composite and the least importance that stays.
 LEAST_PAGES, CONTENT_WEIGHT, LEAST_IMPORTANCE = 20, 0.8, 0.5
+#: What the importance of a node in a marked branch is taken times, and once more for the marked element's own text.
+DOUBT = 0.7
 EVERY_HOST = "*"
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -59,6 +67,10 @@ class Node:
     path: int  # hash of the elements from the root with their presentation
     noise: bool
     main: bool
+    held: bool = False  # in an article or main element
+    marks: tuple[int, ...] = ()  # marked elements around it since the last article or main, itself last, by their order
+    own: bool = False  # is marked itself
+    apart: bool = False  # an inline element whose text is a block of its own
     children: list[str] = field(default_factory=list)
 
 
@@ -68,23 +80,26 @@ class Block:
     node: Node
 
 
-def _presentation(tag: str, attrs: str) -> tuple[str, bool, bool]:
-    """(tag with class and id, whether it is noise by its meaning, whether it is main text by it)."""
-    noise, main = tag in NOISE, tag in MAIN
+def _presentation(tag: str, attrs: str) -> tuple[str, bool, bool, bool, bool]:
+    """(tag with class and id, whether it is noise by its meaning, main text by it or by words, an article or main element,
+    marked as doubtful)."""
+    noise, main, held, marked = tag in NOISE, tag in MAIN, tag in MAIN, tag in DOUBTFUL
     if not attrs or attrs.isspace():
-        return tag, noise, main
+        return tag, noise, main, held, marked
     marks = []
     for m in _ATTR.finditer(attrs):
         value = m[2] if m[2] is not None else m[3] if m[3] is not None else m[4]
         marks.append(f"{m[1].lower()}={value.strip()}")
         for w in value.split():
             words = set(_WORDS.findall(_CAMEL.sub(" ", w).lower()))
-            # A word alone or with others (ad-slot, side_menu) marks noise; main text needs no sign of noise.
-            noise = noise or bool(words & NOISE_WORDS)
+            # A word alone or with others (ad-slot, side_menu) marks doubt; main text needs no sign of it.
+            marked = marked or bool(words & NOISE_WORDS)
+            held = held or m[1].lower() == "role" and w.lower() in MAIN
             main = main or bool(words & MAIN_WORDS) and not words & NOISE_WORDS
     if _HIDDEN.search(attrs):
         noise = True
-    return " ".join([tag, *sorted(marks)]), noise and tag not in ("html", "body"), main and not noise
+    noise, marked = noise and tag not in ("html", "body"), marked and not held and tag not in ("html", "body")
+    return " ".join([tag, *sorted(marks)]), noise, (main or held) and not noise and not marked, held and not noise, marked
 
 
 def parse(source: str) -> tuple[list[Block], list[Node]]:
@@ -103,11 +118,11 @@ def parse(source: str) -> tuple[list[Block], list[Node]]:
             words = "".join(text).split()
             text.clear()
             if words:
-                owner = next((x for x in reversed(stack) if x.tag not in INLINE), root)
+                owner = next((x for x in reversed(stack) if x.tag not in INLINE or x.apart), root)
                 out.append(Block(" ".join(words), owner))
 
     def close(k: int) -> None:
-        if any(x.tag not in INLINE for x in stack[k:]):
+        if any(x.tag not in INLINE or x.apart for x in stack[k:]):
             flush()
         del stack[k:]
 
@@ -149,21 +164,25 @@ def parse(source: str) -> tuple[list[Block], list[Node]]:
             continue
         if tag not in INLINE:
             # Inline elements left open don't reach into the next block.
-            while len(stack) > 1 and stack[-1].tag in INLINE:
-                stack.pop()
+            k = len(stack)
+            while k > 1 and stack[k - 1].tag in INLINE:
+                k -= 1
             flush()
-        mark, noise, main = _presentation(tag, m[3])
+            del stack[k:]
+        mark, noise, main, held, marked = _presentation(tag, m[3])
         parent = stack[-1]
         parent.children.append(tag)
         if tag in VOID:
             continue
-        if tag in INLINE:
-            if noise and not parent.noise:
-                flush()
-            node = Node(tag if not noise else "noise", parent.path, parent.noise or noise, parent.main)
+        apart = tag in INLINE and (noise or marked)
+        if apart:
+            flush()
+        marks = () if held else (*parent.marks, len(nodes)) if marked else parent.marks
+        if tag in INLINE and not apart:
+            node = Node(tag, parent.path, parent.noise, parent.main, parent.held, parent.marks, parent.own)
         else:
             path = xxhash.xxh64_intdigest(f"{parent.path}/{mark}", 0) >> 1
-            node = Node(tag, path, parent.noise or noise, parent.main or main)
+            node = Node(tag, path, parent.noise or noise, parent.main or main, parent.held or held, marks, marked, apart)
             nodes.append(node)
         if m[3].rstrip().endswith("/") and tag not in INLINE:
             continue
@@ -203,7 +222,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
             for url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 blocks_, nodes = parse(source or "")
                 seen = {(x.node.path, 1, _hash(x.text)) for x in blocks_}
-                seen |= {(p, 0, 0) for x in nodes for p in (x.path,)}
+                seen |= {(x.path, 0, bool(x.marks) + x.own) for x in nodes}
                 styles: dict[int, list[str]] = {}
                 for x in nodes:
                     styles.setdefault(x.path, []).append(",".join(x.children))
@@ -222,6 +241,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
     # Sums by content: n of them, sum of log n, sum of n log n. The entropy of a content on n of m pages is log n / log m.
     per = found.groupBy("host", "path").agg(
         F.max(F.when(F.col("kind") == 0, F.col("n"))).alias("pages"),
+        F.max(F.when(F.col("kind") == 0, F.col("content"))).alias("doubt"),
         F.count(F.when(F.col("kind") == 1, F.col("n"))).alias("contents"),
         F.sum(F.when(F.col("kind") == 1, F.log("n"))).alias("logs"),
         F.sum(F.when(F.col("kind") == 2, F.col("n") * F.log("n"))).alias("nlogs"),
@@ -231,23 +251,38 @@ def style_tree(pages: DataFrame) -> DataFrame:
     content = F.when(F.col("contents") > 0, 1 - F.col("logs") / F.col("contents") / logm)
     style = 1 - F.coalesce(F.col("nlogs"), F.lit(0.0)) / F.col("pages") / logm
     importance = F.when(F.col("pages") < 2, F.lit(1.0)).otherwise(F.coalesce(content * CONTENT_WEIGHT + style * (1 - CONTENT_WEIGHT), F.lit(1.0)))
-    return per.select("host", "path", "pages", importance.alias("importance"), (F.col("contents") > 0).alias("leaf"))
+    return per.select("host", "path", "pages", (importance * F.pow(F.lit(DOUBT), "doubt")).alias("importance"), (F.col("doubt") > 0).alias("marked"), (F.col("contents") > 0).alias("leaf"))
 
 
-def extract(source: str, low: frozenset[int] | set[int]) -> str:
-    """The main text of a page; low: paths whose own text the style tree removes, not that of the nodes below them."""
+def extract(source: str, low: frozenset[int] | set[int], high: frozenset[int] | set[int] = frozenset()) -> str:
+    """The main text of a page; low: paths whose own text the style tree removes, not that of the nodes below them; high: those
+    in marked branches that it keeps."""
     blocks_, _ = parse(source)
-    kept = [b.text for b in blocks_ if not b.node.noise and (b.node.main or b.node.path not in low)]
-    return " ".join(kept)
+    blocks_ = [b for b in blocks_ if not b.node.noise]
+    size: dict[int, int] = {}
+    for b in blocks_:
+        for k in b.node.marks:
+            size[k] = size.get(k, 0) + len(b.text)
+    half = sum(len(b.text) for b in blocks_) / 2
+    article = any(b.node.held and not b.node.marks for b in blocks_)
+
+    def stays(x: Node) -> bool:
+        if not x.marks:
+            return x.main or x.path not in low
+        # The innermost marked branch is the smallest.
+        return x.path not in low and (x.path in high or not article and size[x.marks[-1]] >= half)
+
+    return " ".join(b.text for b in blocks_ if stays(b.node))
 
 
 def low_paths(tree: DataFrame, least_pages: int = LEAST_PAGES, least: float = LEAST_IMPORTANCE) -> DataFrame:
-    """(host, low): the paths whose own text each host's pages lose. A node on fewer than least_pages of a host's pages has the
-    importance that its path has over all hosts."""
+    """(host, low, high): the paths whose own text each host's pages lose, and those in marked branches that they keep. A node on
+    fewer than least_pages of a host's pages has the importance that its path has over all hosts, if enough pages have it."""
     own, every = tree.filter(F.col("host") != EVERY_HOST).alias("o"), tree.filter(F.col("host") == EVERY_HOST).alias("e")
     both = own.filter("leaf").join(every, F.col("o.path") == F.col("e.path"))
-    known = F.when(F.col("o.pages") >= least_pages, F.col("o.importance")).when(F.col("e.pages") >= least_pages, F.col("e.importance")).otherwise(F.lit(1.0))
-    return both.filter(known < least).groupBy("o.host").agg(F.collect_set("o.path").alias("low"))
+    known = F.when(F.col("o.pages") >= least_pages, F.col("o.importance")).when(F.col("e.pages") >= least_pages, F.col("e.importance"))
+    rows = both.select("o.host", "o.path", (known < least).alias("is_low"), F.col("o.marked").alias("marked")).filter("is_low or (marked and not is_low)")
+    return rows.groupBy("host").agg(F.collect_set(F.when(F.col("is_low"), F.col("path"))).alias("low"), F.collect_set(F.when(~F.col("is_low"), F.col("path"))).alias("high"))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES) -> DataFrame:
@@ -258,13 +293,13 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     low = stored(low_paths(stored(style_tree(rows), "styletree"), least_pages), "lowpaths")
-    joined = rows.withColumn("host", host_column("url")).join(low, "host", "left").select("page_id", "url", "html", "low")
+    joined = rows.withColumn("host", host_column("url")).join(low, "host", "left").select("page_id", "url", "html", "low", "high")
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = []
-            for source, low_ in zip(batch.column(2), batch.column(3)):
-                done.append(extract(source.as_py() or "", {*(low_.as_py() or ())}))
+            for source, low_, high in zip(batch.column(2), batch.column(3), batch.column(4)):
+                done.append(extract(source.as_py() or "", {*(low_.as_py() or ())}, {*(high.as_py() or ())}))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(done, pa.string()), pa.array([len(x) for x in done], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kinds = dict(joined.dtypes)

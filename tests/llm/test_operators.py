@@ -434,6 +434,19 @@ def test_style_tree_keeps_what_stands_in_repeated_text(spark):
     assert got == {i: f"Title {i} Only page {i} has this text" for i in range(30)} | {100 + i: "The same article in every copy" for i in range(40)}
 
 
+def test_words_of_classes_only_lower():
+    for wrap in ("<div class='content-sidebar-wrap'><main>{}</main></div>", "<div class='layout has-sidebar'><article>{}</article></div>", "<div class='share-price'>{}</div>", "<form id='aspnet'>{}</form>"):
+        assert html.extract(wrap.format("<h1>Head</h1><p>A story of some words</p>") + "<div class='sidebar'>Links</div>", set()) == "Head A story of some words"
+    assert html.extract("<p>Now <span class='share'>Tweet</span> all of the rest</p><p>And more</p>", set()) == "Now all of the rest And more"
+
+
+def test_importance_outweighs_words(spark):
+    page = "<body><div class='related-work'><p>Story {0} with words of its own</p></div><div class='x'><p>Page {0} has a far longer text that outweighs by far what is in the other one</p></div><div class='ad'>Offer {0}</div></body>"
+    df = spark.createDataFrame([(i, f"http://h/{i}", page.format(i)) for i in range(30)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.main_text(df).collect()}
+    assert got == {i: f"Story {i} with words of its own Page {i} has a far longer text that outweighs by far what is in the other one" for i in range(30)}
+
+
 def test_html_odd(spark):
     df = spark.createDataFrame([(1, None, None), (2, "http://h/", ""), (3, "http://h/", "<article>" + "long word " * 50_000), (3, "http://h/", "<p>x</p>"), (None, "u", "<p>漢</p>")], "page_id long, url string, html string")
     got = sorted((r["page_id"] or 0, r["n_chars"]) for r in html.main_text(df).collect())
