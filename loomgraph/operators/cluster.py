@@ -261,21 +261,28 @@ def agreement(pairs: DataFrame) -> DataFrame:
 
 
 def kmeans_pairs(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 42) -> DataFrame:
-    """(a, b, layer), a < b: pairs within each of k = max(2, min(n // 3, 6)) clusters of unit vectors, and pairs of their representatives."""
+    """(a, b, layer) of k = max(2, min(n // 3, 6)) clusters of unit vectors: "member" rows have a cluster's representative and each
+    of its members (itself too), "inter" rows, a < b, pairs of representatives.
+
+    Any two members of one representative are a pair of the cluster: these are not written out, as they grow with the square
+    of a cluster. The representative is the member of the highest cosine with the centroid, ties by id.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    from loomgraph.session import stored
+
     from . import vectors as V
 
-    rows = vectors.filter(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), V.unit(F.col(vec_col)).alias("u"))
-    rows = rows.withColumn("features", array_to_vector("u"))
+    rows = vectors.filter(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), V.norm(F.col(vec_col)).alias("n"))
+    rows = stored(rows.select("id", F.transform("v", lambda x: F.when(F.col("n") > 0, x / F.col("n")).otherwise(F.lit(0.0))).alias("u")), "kmeans-units")
+    features = rows.withColumn("features", array_to_vector("u"))
     n = rows.count()
     k = min(max(2, min(n // 3, 6)), max(n - 1, 1))
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(rows)
-    got = model.transform(rows).select("id", "u", F.col("cluster").cast("long").alias("cluster"))
-    near = V.knn(V.centroids(got, "cluster", "u"), got, n, "cluster", "centroid", "id", "u").join(got.select("id", F.col("cluster").alias("own")), "id").filter("qid = own")
-    first = near.groupBy("own").agg(F.min_by("id", "rk").alias("id"))
-    x, y = got.select(F.col("id").alias("a"), "cluster"), got.select(F.col("id").alias("b"), "cluster")
-    inner = x.join(y, "cluster").filter("a < b").select("a", "b", F.lit("intra").alias("layer"))
-    outer = first.select(F.col("id").alias("a")).join(first.select(F.col("id").alias("b")), F.col("a") < F.col("b")).select("a", "b", F.lit("inter").alias("layer"))
-    return inner.union(outer)
+    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(features)
+    got = stored(model.transform(features).select("id", "u", F.col("cluster").cast("long").alias("cluster")), "kmeans-clusters")
+    near = got.join(F.broadcast(V.centroids(got, "cluster", "u")), "cluster").withColumn("score", F.round(V.cosine(F.col("u"), F.col("centroid")), V.DIGITS))
+    first = near.groupBy("cluster").agg(F.min(F.struct((-F.col("score")).alias("s"), "id"))["id"].alias("a"))
+    member = got.join(F.broadcast(first), "cluster").select("a", F.col("id").alias("b"), F.lit("member").alias("layer"))
+    inter = first.select("a").join(first.select(F.col("a").alias("b")), F.col("a") < F.col("b")).select("a", "b", F.lit("inter").alias("layer"))
+    return member.union(inter)

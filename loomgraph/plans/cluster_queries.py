@@ -43,7 +43,7 @@ def _(spark, d):
 
 @query("rel_03_cluster_pairs")
 def _(spark, d):
-    return K.kmeans_pairs(Space(spark, d).v.filter("vec_id < 300"))
+    return K.kmeans_pairs(Space(spark, d).v)
 
 
 @query("clu_01_density_clusters")
