@@ -116,7 +116,7 @@ def _(spark, d):
 @query("ret_03_ridge_arm")
 def _(spark, d):
     g = Graph(spark, d)
-    q = N.ridge_weights(g.own, g.m, 1.0, 300)
+    q = N.ridge_weights(g.own, g.m, 1.0)
     return R.top(rounded(G.propagate(q, g.m, g.seeds), "score").filter("score > 0"), 10)
 
 
