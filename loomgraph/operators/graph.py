@@ -271,6 +271,14 @@ def compare_layers(first: DataFrame, second: DataFrame) -> DataFrame:
     return rows.select("layer", F.size(F.array_intersect("a", "b")).alias("both"), F.size(F.array_except("a", "b")).alias("only_first"), F.size(F.array_except("b", "a")).alias("only_second"))
 
 
+def compare_layers_of(readout: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(first, second, layer, both, only_first, only_second): compare_layers() of the readouts (chunk_id, layer, token) of each pair."""
+    sets = readout.groupBy("chunk_id", "layer").agg(F.collect_set("token").alias("words"))
+    a, b = (pairs.join(sets, F.col(c) == F.col("chunk_id")).select("first", "second", "layer", F.col("words").alias(n)) for c, n in (("first", "a"), ("second", "b")))
+    rows = a.join(b, ["first", "second", "layer"], "full").select("first", "second", "layer", *[F.coalesce(c, F.expr("cast(array() as array<string>)")).alias(c) for c in "ab"])
+    return rows.select("first", "second", "layer", F.size(F.array_intersect("a", "b")).alias("both"), F.size(F.array_except("a", "b")).alias("only_first"), F.size(F.array_except("b", "a")).alias("only_second"))
+
+
 def trace(steps: DataFrame, least_prob: float = 0.05, domain: DataFrame | None = None, share: float = 0.3) -> DataFrame:
     """(run, word, n_steps, best, best_step) of words in two steps or more of (run, step, word, prob), best at least least_prob."""
     rows = steps.groupBy("run", "word").agg(F.countDistinct("step").alias("n_steps"), F.max("prob").alias("best"), F.min_by("step", F.struct(-F.col("prob"), F.col("step"))).alias("best_step"))

@@ -215,6 +215,15 @@ def _(spark, d):
     return G.compare_layers(r.filter("chunk_id = '0::chunk_0'"), r.filter("chunk_id = '1::chunk_0'"))
 
 
+@query("con_05_layer_overlap_next")
+def _(spark, d):
+    """Every chunk with the next of its document."""
+    g = Graph(spark, d)
+    c = g.chunks.select("doc_id", "chunk_id", F.col("ord").alias("k"))
+    pairs = c.select("doc_id", F.col("chunk_id").alias("first"), (F.col("k") + 1).alias("k")).join(c.withColumnRenamed("chunk_id", "second"), ["doc_id", "k"]).select("first", "second")
+    return G.compare_layers_of(_readout(g), pairs)
+
+
 @query("con_08_quality", "WITH " + CONCEPTS + f", bw AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark)), p AS (SELECT chunk_id, {POS.format(w='concept')} AS pos, concept IN (SELECT w FROM bw) AS hit, length(concept) <= 6 AS short FROM cc) SELECT chunk_id, count(*) AS n, round(avg(hit::INT), 6) AS hit, round(avg((short AND NOT hit)::INT), 6) AS fragment, round(avg((pos IN ('VBG', 'VBD'))::INT), 6) AS verb, round(avg((pos = 'JJ')::INT), 6) AS adjective, round(count(*) FILTER (WHERE hit AND pos IN ('NN', 'NNS', 'UNK')) / greatest(count(*) FILTER (WHERE hit), 1), 6) AS noun FROM p GROUP BY 1")
 def _(spark, d):
     words = table(spark, d, "benchmark").select(F.explode(T.words("text")).alias("word")).distinct()
@@ -236,6 +245,13 @@ def _(spark, d):
     return G.pair_context(pairs, g.cc, g.chunks)
 
 
+@query("rel_04_pair_context_relations")
+def _(spark, d):
+    """All pairs of the relations."""
+    g = Graph(spark, d)
+    return G.pair_context(g.relations.select("a", "b"), g.cc, g.chunks)
+
+
 @query("rel_05_top_pairs", "WITH " + RELATIONS + " SELECT a, b, n FROM relations ORDER BY n DESC, a, b LIMIT 50")
 def _(spark, d):
     return Graph(spark, d).relations.orderBy(F.desc("n"), "a", "b").limit(50).select("a", "b", "n")
@@ -339,16 +355,27 @@ ps AS (SELECT 0::BIGINT AS qid, concept AS node, 1.0 / count(*) OVER () AS s FRO
 pr AS (SELECT 0 AS k, qid, node, s AS p FROM ps UNION ALL SELECT k + 1, qid, node, sum(p) FROM (SELECT r.k, r.qid, t.dst AS node, 0.5 * r.p * t.t AS p FROM pr r JOIN pt t ON t.src = r.node WHERE r.k < 10 UNION ALL SELECT g.k, s.qid, s.node, 0.5 * s.s FROM ps s, (SELECT DISTINCT k FROM pr WHERE k < 10) g) GROUP BY 1, 2, 3)"""
 
 
-@query("ret_09_page_rank", "WITH RECURSIVE " + PPR + " SELECT qid, node AS id, round(p, 8) AS p FROM pr WHERE k = 10 AND node LIKE '%::chunk_%'")
-def _(spark, d):
-    g = Graph(spark, d)
+def _page_rank(g, own):
     contains = G.both_ways(g.cc, "concept", "chunk_id").withColumn("w", F.lit(1.0))
     edges = g.adjacent.select("src", "dst", F.greatest("prob", F.lit(1e-3)).alias("w")).union(contains)
-    reset = g.own.filter("qid = 0").select("qid", F.col("concept").alias("node"), F.lit(1.0).alias("s"))
+    reset = own.select("qid", F.col("concept").alias("node"), F.lit(1.0).alias("s"))
     p = G.page_rank(edges, reset, 0.5, 10)
     return p.filter("node like '%::chunk_%'").select("qid", F.col("node").alias("id"), F.round("p", 8).alias("p"))
 
 
+@query("ret_09_page_rank", "WITH RECURSIVE " + PPR + " SELECT qid, node AS id, round(p, 8) AS p FROM pr WHERE k = 10 AND node LIKE '%::chunk_%'")
+def _(spark, d):
+    g = Graph(spark, d)
+    return _page_rank(g, g.own.filter("qid = 0"))
+
+
+@query("ret_09_page_rank_all")
+def _(spark, d):
+    """Every question."""
+    g = Graph(spark, d)
+    return _page_rank(g, g.own)
+
+
 @query("ret_09_passage_seeds", "WITH " + SEEDS + ", f AS (SELECT qid, chunk_id AS id, score FROM dense WHERE rk <= 100) SELECT qid, id, round(CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) * 0.05 ELSE 0 END, 6) AS s FROM f WINDOW w AS (PARTITION BY qid)")
 def _(spark, d):
     return rounded(G.min_max(Graph(spark, d).dense.select("qid", "id", "score"), 0.05), "s")
