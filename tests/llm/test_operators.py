@@ -415,9 +415,9 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 
 def test_extract():
-    assert html.extract(PAGE, set()) == "Head & line First éé& line inline Second para"
-    assert html.extract("", set()) == "" and html.extract("a < b <p>c", set()) == "a < b c" and html.extract("<p>open <b>x", set()) == "open x"
-    assert html.extract("<table><tr><td>a<td>b</table>c", set()) == "a b c"
+    assert html.extract(PAGE, {}) == "Head & line First éé& line inline Second para"
+    assert html.extract("", {}) == "" and html.extract("a < b <p>c", {}) == "a < b c" and html.extract("<p>open <b>x", {}) == "open x"
+    assert html.extract("<table><tr><td>a<td>b</table>c", {}) == "a b c"
 
 
 def test_style_tree_drops_templates(spark):
@@ -436,8 +436,8 @@ def test_style_tree_keeps_what_stands_in_repeated_text(spark):
 
 def test_words_of_classes_only_lower():
     for wrap in ("<div class='content-sidebar-wrap'><main>{}</main></div>", "<div class='layout has-sidebar'><article>{}</article></div>", "<div class='share-price'>{}</div>", "<form id='aspnet'>{}</form>"):
-        assert html.extract(wrap.format("<h1>Head</h1><p>A story of some words</p>") + "<div class='sidebar'>Links</div>", set()) == "Head A story of some words"
-    assert html.extract("<p>Now <span class='share'>Tweet</span> all of the rest</p><p>And more</p>", set()) == "Now all of the rest And more"
+        assert html.extract(wrap.format("<h1>Head</h1><p>A story of some words</p>") + "<div class='sidebar'>Links</div>", {}) == "Head A story of some words"
+    assert html.extract("<p>Now <span class='share'>Tweet</span> all of the rest</p><p>And more</p>", {}) == "Now all of the rest And more"
 
 
 def test_importance_outweighs_words(spark):
@@ -447,6 +447,87 @@ def test_importance_outweighs_words(spark):
     assert got == {i: f"Story {i} with words of its own Page {i} has a far longer text that outweighs by far what is in the other one" for i in range(30)}
 
 
+def brute_standing(rows):
+    """Standing of each (host, path) by recursion over the merged trees of a few pages."""
+    import math
+
+    nodes, texts, styles, hints = {}, {}, {}, {}
+    for host, source in sorted({(html.host_of(u), h or "") for _, u, h in rows}):
+        blocks, own = html.parse(source)
+        for at in (host, "*"):
+            per = {}
+            for x in [*own, *{id(b.node): b.node for b in blocks}.values()]:
+                if not x.noise:
+                    nodes.setdefault((at, x.path), x.chain)
+                    per.setdefault(x.path, []).append(x)
+            for p, xs in per.items():
+                styles.setdefault((at, p), []).append("|".join(",".join(x.children) for x in xs))
+                hints.setdefault((at, p), []).append(max(x.hint for x in xs))
+            for p, t in {(b.node.path, b.text.replace(host, "\0") if host else b.text) for b in blocks if not b.node.noise}:
+                texts.setdefault((at, p), []).append(t)
+
+    def own_importance(at, p):
+        below = [t for (a, q), c in nodes.items() if a == at and p in c for t in [texts.get((a, q), [])]]
+        every, once = sum(len(t) for ts in below for t in ts), sum(len(t) for ts in below for t in set(ts))
+        content = once / every if every else 1.0
+        s, m = styles[at, p], len(styles[at, p])
+        if not any(x.strip("|") for x in s):
+            return content
+        entropy = -sum(s.count(x) / m * math.log(s.count(x) / m) for x in set(s)) / math.log(m) if m > 1 else 1.0
+        return html.CONTENT_WEIGHT * content + (1 - html.CONTENT_WEIGHT) * entropy
+
+    def importance(host, p):
+        m, k = len(styles[host, p]), len(styles["*", p])
+        wide = (own_importance("*", p) * k + sum(hints["*", p]) / k * html.HINT_PAGES) / (k + html.HINT_PAGES)
+        return (own_importance(host, p) * m + wide * html.SITE_PAGES) / (m + html.SITE_PAGES)
+
+    out = {}
+    for (host, p), chain in nodes.items():
+        if host != "*":
+            v = importance(host, chain[0])
+            for q in chain[1:]:
+                v = html.OWN_SHARE * importance(host, q) + (1 - html.OWN_SHARE) * v
+            out[host, p] = v
+    return out
+
+
+def test_style_tree_brute(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(60):
+        menu = "".join(f"<li>go {x}</li>" for x in rng.integers(0, 4, 3))
+        body = "".join(f"<p>{' '.join(f'w{x}' for x in rng.integers(0, 50, 8))}</p>" for _ in range(int(rng.integers(1, 4))))
+        rows.append((i, f"http://h{i % 3}/", f"<body><div class='m'><ul>{menu}</ul>h{i % 3}</div><div class='ad'>Buy {i % 5}</div><section><h2>T{i}</h2>{body}<p>Again</p></section></body>"))
+    rows += [rows[0], (99, None, None), (98, "http://h1/", "<div><div>")]
+    got = {(r["host"], r["path"]): r["standing"] for r in html.style_tree(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = brute_standing(rows)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_tree_decides_alone(spark, monkeypatch):
+    """Without hints of tags or words the tree finds the articles; without the tree every page keeps its advert and its menu."""
+    monkeypatch.setattr(html, "NOISE_WORDS", frozenset())
+    monkeypatch.setattr(html, "NOISE", html.NOISE - {"nav", "footer", "aside"})
+    pages = spark.read.parquet(f"{DATA.replace('sf0.001', 'sf0.1')}/pages.parquet")
+    text = {r["page_id"]: r["text"] for r in html.main_text(pages, hint_pages=0.0).collect()}
+    found = bare = n = 0
+    for r in pages.collect():
+        article = html.extract(re.search("<article>.*</article>", r["html"], re.S)[0], {})
+        n, found, bare = n + 1, found + (text[r["page_id"]] == article), bare + (html.extract(r["html"], {}) == article)
+    assert found / n > 0.99 and bare == 0
+
+
+def test_pages_keep_articles_only(spark):
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    text = {r["page_id"]: r["text"] for r in html.main_text(pages).collect()}
+    assert all(text[r["page_id"]] == html.extract(re.search("<article>.*</article>", r["html"], re.S)[0], {}) for r in pages.collect())
+
+
+def test_deep_and_long_pages():
+    deep = html.extract("<div>" * 20_000 + "end", {})
+    assert deep == "end" and len(html.extract("<p>" + "word " * 400_000, {})) == 1_999_999
+
+
 def test_html_odd(spark):
     df = spark.createDataFrame([(1, None, None), (2, "http://h/", ""), (3, "http://h/", "<article>" + "long word " * 50_000), (3, "http://h/", "<p>x</p>"), (None, "u", "<p>漢</p>")], "page_id long, url string, html string")
     got = sorted((r["page_id"] or 0, r["n_chars"]) for r in html.main_text(df).collect())
