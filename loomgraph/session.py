@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -28,21 +29,30 @@ def session(app: str = "loomgraph", **settings: str) -> SparkSession:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder that the session names in spark.checkpoint.dir. Where that is unset, a temporary one if all runs in this
+    process (local mode, as in tests); on a cluster, whose executors would not see that, an error."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir")
     if not base:
         found = sc._jsc.sc().getCheckpointDir()
-        base = found.get() if found.isDefined() else tempfile.mkdtemp(prefix="loomgraph-")
-        if not found.isDefined():
+        if found.isDefined():
+            base = found.get()
+        elif re.match(r"local(\[|$)", sc.master):
+            base = tempfile.mkdtemp(prefix="loomgraph-")
             sc.setCheckpointDir(base)
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return base.rstrip("/")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df as a written table in the scratch folder, with its lineage cut."""
-    path = f"{scratch(df.sparkSession)}/loomgraph/{uuid.uuid4().hex}/{label}"
-    df.write.option("compression", "zstd").parquet(path)
+def scratch_path(spark: SparkSession, label: str) -> str:
+    return f"{scratch(spark)}/loomgraph/{uuid.uuid4().hex}/{label}"
+
+
+def stored(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
+    """df as a written table in the scratch folder, with its lineage cut: what follows rereads it, whichever executors are lost."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
