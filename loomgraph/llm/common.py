@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.session import ship
+from loomgraph.session import scratch_path, ship, stored  # noqa: F401 - the operators take them from here
 
 #: UTF-8 bytes that one numpy step handles at a time (a longer text is still one whole step).
 BLOCK_BYTES = 1 << 20
@@ -45,31 +43,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; a temporary one only where that is unset."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir")
-    if not base:
-        found = sc._jsc.sc().getCheckpointDir()
-        if found.isDefined():
-            base = found.get()
-        else:
-            base = tempfile.mkdtemp(prefix="loomgraph-")
-            sc.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/loomgraph/{uuid.uuid4().hex}/{label}"
-
-
-def stored(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """df as a written table in the shared scratch folder: what follows rereads it, whichever executors are lost."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def utf8(arr: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, bytes) of a string array, nulls as empty texts; offsets start at 0."""
     if isinstance(arr, pa.ChunkedArray):
@@ -115,5 +88,19 @@ def held_out(doc_id):
 
 
 def bounded(ids: DataFrame, most: int, seed: int = 0) -> DataFrame:
-    """At most `most` rows, the first by a hash of doc_id: the same ones in each run, spread over all sources."""
-    return ids.orderBy(F.xxhash64("doc_id", F.lit(seed)), *ids.columns).limit(most)
+    """At most `most` rows, the first by a hash of doc_id: the same ones in each run, spread over all sources.
+
+    A count comes first. Rows whose hash is beyond what 1.5 times `most` rows need, and 200 more, are dropped where they are, so
+    the one task that takes the least ones gets about that many, however many partitions there are; if they turn out to be too few
+    (equal ids hash alike), the cut doubles.
+    """
+    total = ids.count()
+    keyed = ids.withColumn("__h", F.xxhash64("doc_id", F.lit(seed)))
+    share = min(1.0, (1.5 * most + 200) / max(total, 1))
+    while share < 1.0:
+        below = keyed.filter(F.col("__h") < F.lit(int(-(1 << 63) + share * (1 << 64))))
+        if below.count() >= most:
+            keyed = below
+            break
+        share *= 2
+    return keyed.orderBy("__h", *ids.columns).limit(most).drop("__h")
