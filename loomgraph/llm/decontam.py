@@ -3,9 +3,10 @@
 Each shard of training documents (a slice of an Arrow batch, whole documents) is turned into a sequence of word numbers in
 the benchmark's vocabulary, with 0 for every other word and between documents. No match runs through a 0, so only
 suffixes that start a long enough run of non-zero words enter the shard's suffix array, which is sorted by prefix
-doubling. Every benchmark suffix is then binary-searched in every shard: its range narrows word by word, which gives
-the longest verbatim match, and the range at the window's length gives all locations. Benchmark items reach the executors in
-blocks of a fixed size, so what is broadcast does not grow with the benchmark or the corpus.
+doubling. Every suffix of every benchmark item is then binary-searched in every shard: its range narrows word by word until it
+is empty, which gives the longest verbatim match, and the range at the window's length gives all locations. Locations of an item's
+successive suffixes that follow each other are one match, with its place in the item and in the document and its whole length.
+Benchmark items reach the executors in blocks of a fixed size, of which a worker holds one at a time.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import blocks, utf8
+from .common import blocks, col, every, free, spread, utf8
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
@@ -87,23 +88,25 @@ def words_of(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 @dataclass
 class Benchmark:
-    """A block of items: windows as rows of word numbers, each with the items that have it."""
+    """A block of items and those of their suffixes that start a window."""
 
     vocab: np.ndarray  # sorted hashes of words; a word's number is its place + 1
     maybe: np.ndarray  # by the upper 20 bits of a hash: whether any word of the vocabulary has them
-    windows: np.ndarray  # (n, WINDOW) word numbers, 0 beyond the window's length
-    lengths: np.ndarray
-    item_at: np.ndarray  # items of window i: item_ids[item_at[i]:item_at[i + 1]]
-    items: np.ndarray  # numbers into ids
-    ids: list
+    words: np.ndarray  # the items' words by number, item after item
+    starts: np.ndarray  # of each suffix in words
+    lengths: np.ndarray  # words from there to the item's end
+    needs: np.ndarray  # words of the item's windows
+    offsets: np.ndarray  # of each suffix in its item
+    items: np.ndarray  # of each suffix, a number into ids
+    ids: list[str | None]
 
     @property
     def least(self) -> int:
-        return int(self.lengths.min()) if len(self.lengths) else 0
+        return int(self.needs.min()) if len(self.needs) else 0
 
 
 def benchmark_block(rows: list[tuple], window: int = WINDOW) -> Benchmark:
-    """Numbers a block's items; equal windows are one."""
+    """Numbers a block's items (id, text)."""
     arr = pa.array([r[1] for r in rows], pa.string())
     h, doc, counts = words_of(*utf8(arr))
     vocab, number = np.unique(h, return_inverse=True)
@@ -113,26 +116,14 @@ def benchmark_block(rows: list[tuple], window: int = WINDOW) -> Benchmark:
     for x, w in zip(h.tolist(), plain, strict=True):
         if by_hash.setdefault(x, w) != w:
             raise ValueError(f"two benchmark words share a hash: {w!r} and {by_hash[x]!r}")
-    ids: list = []
-    id_no: dict = {}
-    found: dict[tuple[int, ...], set[int]] = {}
-    at = 0
-    for (item, _), n in zip(rows, counts.tolist()):
-        own = number[at : at + n].tolist()
-        at += n
-        if item is not None and item not in id_no:
-            id_no[item] = len(ids)
-            ids.append(item)
-        for i in range(max(1, n - window + 1) if n else 0):
-            found.setdefault(tuple(own[i : i + window]), set()).update([] if item is None else [id_no[item]])
-    keys = sorted(found)
-    windows = np.zeros((len(keys), window), np.int64)
-    for i, k in enumerate(keys):
-        windows[i, : len(k)] = k
     maybe = np.zeros(1 << 20, bool)
     maybe[(vocab >> np.uint64(44)).astype(np.int64)] = True
-    items = [np.array(sorted(found[k]), np.int64) for k in keys]
-    return Benchmark(vocab, maybe, windows, np.array([len(k) for k in keys], np.int64), np.concatenate([[0], np.cumsum([len(x) for x in items])]).astype(np.int64), np.concatenate([np.zeros(0, np.int64), *items]), ids)
+    needs = np.minimum(counts, window)
+    suffixes = np.where(counts > 0, counts - needs + 1, 0)
+    item = np.repeat(np.arange(len(counts)), suffixes)
+    offsets = np.arange(suffixes.sum()) - np.repeat(np.cumsum(suffixes) - suffixes, suffixes)
+    starts = (np.cumsum(counts) - counts)[item] + offsets
+    return Benchmark(vocab, maybe, number, starts, counts[item] - offsets, needs[item], offsets, item, [None if r[0] is None else str(r[0]) for r in rows])
 
 
 def _lower(text: str) -> str:
@@ -143,8 +134,8 @@ def suffix_array(seq: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     """The positions `at` of seq in the order of their suffixes, as far as `depth` words; a suffix ends at its first 0."""
     rank = seq.copy()
     step, order = 1, at[np.argsort(rank[at], kind="stable")]
+    live = np.flatnonzero(rank)
     while step < depth and len(at):
-        live = np.flatnonzero(rank)
         second = np.zeros(len(live), np.int64)
         ok = live + step < len(rank)
         second[ok] = rank[live[ok] + step]
@@ -153,23 +144,23 @@ def suffix_array(seq: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
         fresh[live] = np.unique(key, return_inverse=True)[1] + 1
         rank = fresh
         step *= 2
-        order = at[np.argsort(rank[at], kind="stable")]
-    return order
+        own = np.sort(rank[at])
+        if (own[1:] != own[:-1]).all():
+            break  # all are told apart
+    return at[np.argsort(rank[at], kind="stable")] if len(at) else order
 
 
-def search(seq: np.ndarray, sa: np.ndarray, queries: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each query (a row of words): [lo, hi) of the suffixes that start with it, and the longest match's words."""
-    n = len(queries)
+def search(seq: np.ndarray, sa: np.ndarray, words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, needs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each query, the `lengths` words at `starts` of words: [lo, hi) of the suffixes that start with its first `needs` words
+    (empty if none does), and the words of its longest match."""
+    n = len(starts)
     lo, hi = np.zeros(n, np.int64), np.full(n, len(sa), np.int64)
+    first, last = np.zeros(n, np.int64), np.zeros(n, np.int64)
     longest = np.zeros(n, np.int64)
-    if not len(sa) or not n:
-        return lo, lo.copy(), longest
-    live = np.arange(n)
-    for d in range(queries.shape[1]):
-        live = live[(lengths[live] > d) & (lo[live] < hi[live])]
-        if not len(live):
-            break
-        word = queries[live, d]
+    live = np.arange(n) if len(sa) else np.zeros(0, np.int64)
+    d = 0
+    while len(live):
+        word = words[starts[live] + d]
         ends = []
         for right in (False, True):
             a, b = lo[live].copy(), hi[live].copy()
@@ -182,16 +173,21 @@ def search(seq: np.ndarray, sa: np.ndarray, queries: np.ndarray, lengths: np.nda
                 b = np.where(open_ & ~less, mid, b)
             ends.append(a)
         lo[live], hi[live] = ends
-        longest[live[ends[0] < ends[1]]] = d + 1
-    return lo, hi, longest
-
-
-def shard_hits(offsets: np.ndarray, data: np.ndarray, bench: Benchmark) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(words per document, flags of hit words, document of each word, pairs (document, item number)) of a shard."""
-    h, doc, counts = words_of(offsets, data)
-    hit, pairs = np.zeros(len(h), bool), np.zeros((0, 2), np.int64)
-    if not len(h) or not len(bench.windows):
-        return counts, hit, doc, pairs
+        d += 1
+        live = live[ends[0] < ends[1]]
+        longest[live] = d
+        whole = live[needs[live] == d]
+        first[whole], last[whole] = lo[whole], hi[whole]
+        live = live[lengths[live] > d]
+    return first, last, longest
+
+
+def shard_matches(h: np.ndarray, doc: np.ndarray, counts: np.ndarray, bench: Benchmark) -> np.ndarray:
+    """Maximal verbatim matches of a window or more in a shard, given its words' hashes and documents: rows of
+    (document, item number, first word in the item, first word in the shard, words)."""
+    none = np.zeros((0, 5), np.int64)
+    if not len(h) or not len(bench.starts):
+        return none
     seq = np.zeros(len(h), np.int64)
     some = np.flatnonzero(bench.maybe[(h >> np.uint64(44)).astype(np.int64)])
     place = np.minimum(np.searchsorted(bench.vocab, h[some]), len(bench.vocab) - 1)
@@ -202,32 +198,35 @@ def shard_hits(offsets: np.ndarray, data: np.ndarray, bench: Benchmark) -> tuple
     spread[np.arange(len(h)) + doc] = seq
     zeros = np.flatnonzero(np.concatenate([spread, [0]]) == 0)
     known = np.flatnonzero(spread)
-    run = zeros[np.searchsorted(zeros, known)] - known
-    at = known[run >= bench.least]
+    run = np.searchsorted(zeros, known)
+    # Runs too short for any window are left out altogether.
+    long = np.bincount(run, minlength=len(zeros) + 1)[run] >= bench.least
+    spread[known[~long]] = 0
+    known, run = known[long], run[long]
+    at = known[zeros[run] - known >= bench.least]
     if not len(at):
-        return counts, hit, doc, pairs
-    sa = suffix_array(spread, at, bench.windows.shape[1])
-    lo, hi, longest = search(spread, sa, bench.windows, bench.lengths)
-    whole = np.flatnonzero(longest == bench.lengths)
-    n = hi[whole] - lo[whole]
+        return none
+    sa = suffix_array(spread, at, int(min((zeros[run] - known).max(), bench.lengths.max())))
+    lo, hi, _ = search(spread, sa, bench.words, bench.starts, bench.lengths, bench.needs)
+    n = hi - lo
     if not n.sum():
-        return counts, hit, doc, pairs
-    w = np.repeat(whole, n)
-    loc = sa[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[whole], n)]
-    edge = np.zeros(len(spread) + 1, np.int64)
-    np.add.at(edge, loc, 1)
-    np.add.at(edge, loc + bench.lengths[w], -1)
-    hit = np.cumsum(edge)[np.arange(len(h)) + doc] > 0
+        return none
+    q = np.repeat(np.arange(len(n)), n)
+    p = sa[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
+    # A match is a run of windows on one diagonal of (item, document); the 0 between documents keeps these apart.
+    order = np.lexsort([p, p - bench.offsets[q], bench.items[q]])
+    q, p = q[order], p[order]
+    item, diagonal = bench.items[q], p - bench.offsets[q]
+    new = np.concatenate([[True], (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1]) | (p[1:] != p[:-1] + 1)])
+    first = np.flatnonzero(new)
+    last = np.concatenate([first[1:], [len(p)]]) - 1
     of = np.zeros(len(spread), np.int64)
     of[np.arange(len(h)) + doc] = doc
-    dw = np.unique(np.stack([of[loc], w], 1), axis=0)
-    k = bench.item_at[dw[:, 1] + 1] - bench.item_at[dw[:, 1]]
-    item = bench.items[np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(bench.item_at[dw[:, 1]], k)]
-    pairs = np.unique(np.stack([np.repeat(dw[:, 0], k), item], 1), axis=0)
-    return counts, hit, doc, pairs
+    d = of[p[first]]
+    return np.stack([d, item[first], bench.offsets[q[first]], p[first] - d, p[last] - p[first] + bench.needs[q[first]]], 1)
 
 
-HITS = "struct<n_words:long,n_hit:long,items:array<long>,spans:array<struct<start:int,end:int>>>"
+HITS = "struct<n_words:long,n_hit:long,items:array<string>,spans:array<struct<start:int,end:int>>,matches:array<struct<item:string,item_start:int,start:int,words:int>>>"
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -235,28 +234,48 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def hits_udf(bench):
-    """An Arrow UDF text -> HITS; bench: a broadcast variable of a Benchmark."""
+def _hits_of(tokens: list[tuple], found: list[list[tuple[np.ndarray, list]]]) -> Iterator[dict]:
+    """HITS of each document of the shards `tokens`; found: by shard, the matches in each benchmark block and its ids."""
+    for (h, _, counts), per in zip(tokens, found):
+        first = np.cumsum(counts) - counts
+        edge = np.zeros(len(h) + 1, np.int64)
+        own: dict[int, list[dict]] = {}
+        for m, ids in per:
+            np.add.at(edge, m[:, 3], 1)
+            np.add.at(edge, m[:, 3] + m[:, 4], -1)
+            for d, item, offset, at, words in m.tolist():
+                own.setdefault(d, []).append({"item": ids[item], "item_start": offset, "start": at - int(first[d]), "words": words})
+        hit = np.cumsum(edge[:-1]) > 0
+        for d, n in enumerate(counts.tolist()):
+            if d not in own:
+                yield {"n_words": n, "n_hit": 0, "items": [], "spans": [], "matches": []}
+                continue
+            a, b = _runs(hit[first[d] : first[d] + n])
+            spans = [{"start": x, "end": y} for x, y in zip(a.tolist(), b.tolist())]
+            rows = sorted(own[d], key=lambda x: (x["start"], x["item"] is None, x["item"] or "", x["item_start"]))
+            yield {"n_words": n, "n_hit": int((b - a).sum()), "items": sorted({x["item"] for x in rows if x["item"] is not None}), "spans": spans, "matches": rows}
+
+
+def hits_udf(held: list):
+    """An Arrow UDF text -> HITS; held: broadcast variables of Benchmarks. A batch is split into words once for all of them."""
+    match = pa.struct([("item", pa.string()), ("item_start", pa.int32()), ("start", pa.int32()), ("words", pa.int32())])
+    span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+    kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(span)), ("matches", pa.list_(match))])
 
     @arrow_udf(HITS)
     def hits(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in column:
-            words, hit_words, items, spans = [], [], [], []
-            for part in blocks(batch):
-                counts, hit, doc, pairs = shard_hits(*utf8(part), bench.value)
-                words.append(counts)
-                hit_words.append(np.bincount(doc[hit], minlength=len(counts)))
-                ids = np.array(bench.value.ids, dtype=object)
-                cut = np.searchsorted(pairs[:, 0], np.arange(len(counts) + 1)).tolist()
-                items += [ids[pairs[a:b, 1]].tolist() if a < b else [] for a, b in zip(cut[:-1], cut[1:])]
-                first = np.cumsum(counts) - counts
-                for d in range(len(counts)):
-                    a, b = _runs(hit[first[d] : first[d] + counts[d]]) if hit_words[-1][d] else ((), ())
-                    spans.append([{"start": int(x), "end": int(y)} for x, y in zip(a, b)])
-            n = np.concatenate([np.zeros(0, np.int64), *words]).astype(np.int64)
-            k = np.concatenate([np.zeros(0, np.int64), *hit_words]).astype(np.int64)
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.StructArray.from_arrays([pa.array(n), pa.array(k), pa.array(items, pa.list_(pa.int64())), pa.array(spans, kind)], names=["n_words", "n_hit", "items", "spans"])
+            tokens = [words_of(*utf8(part)) for part in blocks(batch)]
+            found: list[list] = [[] for _ in tokens]
+            for b in held:
+                bench = b.value
+                for t, per in zip(tokens, found):
+                    m = shard_matches(*t, bench)
+                    if len(m):
+                        per.append((m, bench.ids))
+                if len(held) > 1:
+                    b.__dict__.pop("_value", None)  # one block in memory at a time; the next batch loads it again
+            yield pa.array(_hits_of(tokens, found), kind)
 
     return hits
 
@@ -264,7 +283,7 @@ def hits_udf(bench):
 def _benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_words: int) -> Iterator[Benchmark]:
     """Items in blocks of at most block_words words (a longer item is a block of its own), one block on the driver at a time."""
     rows, size = [], 0
-    for r in benchmark.select(F.col(id_col).cast("long"), F.col(text_col)).toLocalIterator():
+    for r in benchmark.select(col(id_col).cast("string"), col(text_col)).toLocalIterator():
         n = len(r[1] or "") // 2 + 1
         if rows and size + n > block_words:
             yield benchmark_block(rows, window)
@@ -276,32 +295,21 @@ def _benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, window:
 
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, out: str = "hits") -> DataFrame:
-    """docs with a column `out`: struct of n_words, n_hit, items (sorted ids of items that occur) and spans of hit words.
+    """docs with a column `out`: struct of n_words, n_hit, items (sorted ids of items that occur, as strings), spans of hit words,
+    and matches: (item, its first word, the document's first word, words) of every maximal verbatim match of a window or more.
 
-    A null or empty text has no words and no hits. An item without words has no window; a null item id marks words but is
-    not listed; repeated items count once. No benchmark at all: nothing is hit. All columns of docs stay; one that is
-    already named `out` is replaced.
+    A null or empty text has no words and no hits; one of any length is searched whole. An item without words has no window;
+    ids may be of any type; a null one marks words and is not listed among items; repeated items count once. No documents
+    or no benchmark at all: no rows, or nothing hit. Columns of docs stay, whatever their names; one that is already
+    named `out` is replaced. The benchmark goes through the driver in blocks of `block_words` and lies on each executor's disk.
     """
     spark = docs.sparkSession
-    made = []
+    held = []
     for b in _benchmark_blocks(benchmark, item_col, item_text, window, block_words):
-        made.append(hits_udf(spark.sparkContext.broadcast(b))(F.col(text_col)))
-    if not made:
-        made = [hits_udf(spark.sparkContext.broadcast(benchmark_block([], window)))(F.col(text_col))]
-    if len(made) == 1:
-        return docs.withColumn(out, made[0])
-    # Spans of several blocks are merged word by word, in their sorted order.
-    every = F.array(*made)
-    flat = F.array_sort(F.flatten(F.transform(every, lambda x: x["spans"])))
-    merged = F.aggregate(
-        flat,
-        F.expr("cast(array() as array<struct<start:int,end:int>>)"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(x))),
-    )
-    items = F.array_sort(F.array_distinct(F.flatten(F.transform(every, lambda x: x["items"]))))
-    docs = docs.withColumn(out, F.struct(every[0]["n_words"].alias("n_words"), items.alias("items"), merged.alias("spans")))
-    n_hit = F.aggregate(F.col(out)["spans"], F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
-    return docs.withColumn(out, F.struct(F.col(out)["n_words"].alias("n_words"), n_hit.alias("n_hit"), F.col(out)["items"].alias("items"), F.col(out)["spans"].alias("spans")))
+        held.append(spark.sparkContext.broadcast(b))
+        held[-1].unpersist()
+        b = None
+    return docs.withColumn(out, hits_udf(held)(col(text_col)))
 
 
 def contaminated(hits, share: int = 20):
@@ -309,43 +317,27 @@ def contaminated(hits, share: int = 20):
     return (hits["n_hit"] > 0) & (hits["n_hit"] * share >= hits["n_words"])
 
 
+def affected(hits, window: int = WINDOW, share: int = 20):
+    """A verbatim match of `window` words or more, however long the document; of items shorter than that, whose few words may
+    stand anywhere by chance, only so much that the document is contaminated."""
+    return F.exists(hits["matches"], lambda m: m["words"] >= window) | contaminated(hits, share)
+
+
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    rows = with_hits(docs.select(F.col(id_col).alias("doc_id"), F.col("text")), benchmark, **options)
+    """One row per document with counts and a digest of its hits; repeated rows each have a row, ids may be null."""
+    rows = with_hits(spread(docs.select(col(id_col).alias("doc_id"), F.col("text"))), benchmark, **options)
     h = F.col("hits")
-    ids = F.array_join(F.array_sort(F.transform(h["items"], lambda x: x.cast("string"))), ",")
-    return rows.select("doc_id", h["n_words"].alias("n_words"), h["n_hit"].alias("n_hit"), F.size(h["items"]).cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), contaminated(h).alias("contaminated"))
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the contaminated ones."""
-    out = "__hits"
-    return with_hits(docs, benchmark, out=out, **options).filter(~contaminated(F.col(out))).select(*docs.columns)
-
-
-def matches(text: bytes, items: dict, least: int = WINDOW) -> list[tuple]:
-    """The longest verbatim matches of one text: (item, item's first word, text's first word, words), for inspection."""
-    arr = pa.array([text.decode()])
-    h, _, _ = words_of(*utf8(arr))
-    out = []
-    for item, body in items.items():
-        ih, _, _ = words_of(*utf8(pa.array([body])))
-        vocab = np.unique(ih)
-        place = np.minimum(np.searchsorted(vocab, h), max(len(vocab) - 1, 0))
-        seq = np.where(vocab[place] == h, place + 1, 0) if len(vocab) else np.zeros(len(h), np.int64)
-        own = np.searchsorted(vocab, ih) + 1
-        rows = np.zeros((len(own), max(len(own), 1)), np.int64)
-        for i in range(len(own)):
-            rows[i, : len(own) - i] = own[i:]
-        lengths = len(own) - np.arange(len(own))
-        sa = suffix_array(seq, np.flatnonzero(seq), max(len(own), 1))
-        lo, _, longest = search(seq, sa, rows, lengths)
-        for i in np.flatnonzero(longest >= least).tolist():
-            if i and longest[i - 1] == longest[i] + 1:
-                continue  # the tail of the match before
-            # [lo, hi) narrowed until it was empty: search again for the part that matches.
-            a, b, _ = search(seq, sa, rows[i : i + 1], longest[i : i + 1])
-            out += [(item, i, int(p), int(longest[i])) for p in sorted(sa[a[0] : b[0]].tolist())]
-    return out
+    return rows.select("doc_id", h["n_words"].alias("n_words"), h["n_hit"].alias("n_hit"), F.size(h["items"]).cast("long").alias("n_items"), F.sha2(F.array_join(h["items"], ","), 256).alias("items_sha256"), contaminated(h).alias("contaminated"))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, **options) -> DataFrame:
+    """docs without those that are affected(): every document with a verbatim match of `window` words goes.
+
+    Null, empty and blank texts have no match and stay. Of repeated rows all stay or all go. An empty table of documents stays
+    empty, an empty benchmark removes nothing. All columns stay, whatever their names.
+    """
+    out = free(docs, "hits")
+    return with_hits(docs, benchmark, window=window, out=out, **options).filter(~affected(F.col(out), window)).select(*every(docs))
 
 
 ORACLE = r"""
