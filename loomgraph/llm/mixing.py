@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import col, every, free, spread, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in order of their names (code points; null last), repeating.
@@ -59,16 +59,35 @@ def offset(source: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(source, F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def ranked(sized: DataFrame) -> DataFrame:
-    """sized with `place`: the position from 1 in its source, by falling size, then id; rows may tie only if they are equal."""
-    order = [F.col("source").isNull(), F.col("source"), F.col("size").desc(), F.col("id").isNull(), F.col("id")]
-    rows = sized.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+def ranked(sized: DataFrame, source: str, size: str, key: str, at: str, place: str) -> DataFrame:
+    """sized with `place`: the position from 1 in its source, by falling size, then id (column key), then the row's digest in
+    column at; rows that agree in all of these come in the order in which they are read."""
+    s, k = F.col(source), F.col(key)
+    order = [s.isNull(), s, F.col(size).desc(), k.isNull(), k, F.col(at), F.monotonically_increasing_id()]
+    rows = sized.repartitionByRange(*order).sortWithinPartitions(*order[:-1]).withColumn(at, F.monotonically_increasing_id())
     rows = stored(rows, "ranked")
-    rows = rows.withColumn("part", F.shiftright("at", 33))
-    starts = rows.groupBy("source", "part").agg(F.count("*").alias("here"), F.min("at").alias("first"))
+    part = F.shiftright(at, 33)
+    starts = rows.groupBy(F.col(source).alias("source"), part.alias("part")).agg(F.count("*").alias("here"), F.min(at).alias("first"))
     starts = starts.withColumn("before", F.coalesce(F.sum("here").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    r, s = rows.alias("r"), starts.alias("s")
-    return r.join(s, (F.col("r.part") == F.col("s.part")) & F.col("r.source").eqNullSafe(F.col("s.source"))).select("r.*", (F.col("s.before") + F.col("r.at") - F.col("s.first") + 1).alias("place")).drop("at", "part")
+    starts = starts.select(F.struct("source", "part", "before", "first").alias(place))
+    p = F.col(place)
+    both = rows.join(starts, (part == p["part"]) & F.col(source).eqNullSafe(p["source"]))
+    return both.withColumn(place, p["before"] + F.col(at) - p["first"] + 1).drop(at)
+
+
+def with_copies(docs: DataFrame, keep: list[Column], id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], share: float, cap: float, seed: int) -> tuple[DataFrame, dict[str, str]]:
+    """(rows of a stored table with the columns `keep` and those of the mix, the latter's names); names differ from all of docs."""
+    n = {c: free(docs, c) for c in ("source", "size", "id", "at", "place", "target", "copies")}
+    digest = F.xxhash64(F.coalesce(col(text_col), F.lit(""))) if keep else F.lit(0).cast("long")
+    sized = spread(docs).select(*keep, col(id_col).alias(n["id"]), col(source_col).alias(n["source"]), word_count(col(text_col)).alias(n["size"]), digest.alias(n["at"]))
+    rows = ranked(sized, n["source"], n["size"], n["id"], n["at"], n["place"])
+    targets = source_targets(rows.select(F.col(n["source"]).alias("source"), F.col(n["size"]).alias("size")), weights, share, cap).select(F.struct("source", "source_size", "target").alias(n["target"]))
+    t = F.col(n["target"])
+    both = rows.join(targets, F.col(n["source"]).eqNullSafe(t["source"]))
+    rate = F.when(t["source_size"] > 0, t["target"] / t["source_size"]).otherwise(F.lit(0.0))
+    u, place = offset(F.col(n["source"]), seed), F.col(n["place"])
+    copies = (F.floor(rate * place + u) - F.floor(rate * (place - 1) + u)).cast("long")
+    return both.withColumn(n["copies"], F.least(copies, F.lit(int(cap)))), n
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = CYCLE, share: float = 1.5, cap: float = 2.0, seed: int = 42) -> DataFrame:
@@ -76,30 +95,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     A null text is of size 0; null is a source of its own, after all others. Documents of equal size are laid out by id;
     rows with the same id count each. A source without words has the target 0 and takes nothing. An empty table gives
-    an empty result. Other columns are ignored.
+    an empty result. Other columns are ignored, whatever their names.
     """
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    rows = ranked(sized)
-    targets = source_targets(rows.select("source", "size"), weights, share, cap)
-    r, t = rows.alias("r"), targets.alias("t")
-    both = r.join(t, F.col("r.source").eqNullSafe(F.col("t.source"))).select("r.*", "t.source_size", "t.target")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    u = offset(F.col("source"), seed)
-    copies = (F.floor(rate * F.col("place") + u) - F.floor(rate * (F.col("place") - 1) + u)).cast("long")
-    return both.withColumn("copies", F.least(copies, F.lit(int(cap)))).withColumn("taken", F.col("copies") * F.col("size")).drop("place")
+    rows, n = with_copies(docs, [], id_col, text_col, source_col, weights, share, cap, seed)
+    size, copies, t = F.col(n["size"]), F.col(n["copies"]), F.col(n["target"])
+    return rows.select(F.col(n["id"]).alias("id"), F.col(n["source"]).alias("source"), size.alias("size"), t["source_size"].alias("source_size"), t["target"].alias("target"), copies.alias("copies"), (copies * size).alias("taken"))
 
 
-def emit(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: docs' rows, each as often as the mix takes it, with its copy's number in `copy` (from 0).
+def emit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = CYCLE, share: float = 1.5, cap: float = 2.0, seed: int = 42, out: str = "copy") -> DataFrame:
+    """The mixed corpus: docs' rows, each as often as the mix takes it, with its copy's number (from 0) in `out`.
 
-    Copies are matched to rows by id and size; rows that share both an id and a size get the copies of one of them.
+    Every row carries its own count of copies, repeated rows too, so the emitted words are those that mix() takes. All columns
+    stay, whatever their names; where docs has one named `out`, the number's column gets underscores after its name.
+    Nulls, empty texts and empty tables as in mix().
     """
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    taken = mix(docs, **options).groupBy("id", "size").agg(F.max("copies").alias("copies")).filter("copies > 0")
-    d = docs.withColumn("__size", word_count(F.col(text_col))).alias("d")
-    t = taken.alias("t")
-    joined = d.join(t, F.col(f"d.{id_col}").eqNullSafe(F.col("t.id")) & (F.col("d.__size") == F.col("t.size")))
-    return joined.select(*[F.col(f"d.`{c}`") for c in docs.columns if c != "copy"], F.explode(F.sequence(F.lit(0), (F.col("t.copies") - 1).cast("int"))).alias("copy"))
+    rows, n = with_copies(docs, every(docs), id_col, text_col, source_col, weights, share, cap, seed)
+    number = F.explode(F.sequence(F.lit(0), (F.col(n["copies"]) - 1).cast("int")))
+    return rows.filter(F.col(n["copies"]) > 0).select(*every(docs), number.alias(free(docs, out)))
 
 
 ORACLE = f"""
