@@ -16,18 +16,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import scratch_path, texts
+from .common import col, free, scratch_path, spread, texts
 
 #: The base rules, then what this scan adds: (kind, pattern, group whose length counts, least length). Any change to a rule takes a new version.
-RULES_VERSION = "1"
+RULES_VERSION = "2"
 ASSIGN = r"""(?ai:(?P<key>password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)(?P<value>[A-Za-z0-9+/_.=-]+)"""
 RULES: list[tuple[str, str, str | int, int]] = [
     ("assign", ASSIGN, "value", 6),
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]+", 0, 24),
-    ("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]{0,40}PRIVATE KEY-----", 0, 1),
+    ("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----\s+(?:[A-Za-z0-9-]+:[^\r\n]*\s+)*[A-Za-z0-9+/=\s]+-----END (?:[A-Z]+ )*PRIVATE KEY-----", 0, 1),
     ("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
-    ("login", r"\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,100}:[^\s/:@]{1,100}@", 0, 1),
+    ("login", r"://[^\s/:@]++:[^\s/:@]++@", 0, 1),
 ]
 BASE = ("assign", "access", "hex")
 ORDER = {kind: i for i, (kind, *_) in enumerate(RULES)}
@@ -62,10 +62,26 @@ def scan(data: bytes) -> list[tuple[str, int, int]]:
     for kind, pattern, group, least in RULES:
         if kind in _SURE and _SURE[kind] in data:
             text = data.decode() if text is None else text
+            if kind == "login":
+                out += _logins(text)
+                continue
             out += [(kind, *m.span()) for m in _COMPILED[kind].finditer(text) if len(m[group]) >= least]
     return sorted(out, key=lambda x: (x[1], ORDER[x[0]]))
 
 
+_SCHEME = re.compile(r"[A-Za-z0-9+.-]*+")
+
+
+def _logins(text: str) -> Iterator[tuple[str, int, int]]:
+    """Logins in URLs: the part from :// on matches by itself; its scheme is what stands before, from its first letter on. No two
+    schemes overlap, so this takes time in proportion to the text."""
+    for m in _COMPILED["login"].finditer(text):
+        scheme = _SCHEME.match(text[max(0, text.rfind("/", 0, m.start()) + 1, text.rfind(":", 0, m.start()) + 1) : m.start()][::-1])[0][::-1]
+        first = re.search("[A-Za-z]", scheme)
+        if first:
+            yield "login", m.start() - len(scheme) + first.start(), m.end()
+
+
 def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
@@ -105,18 +121,17 @@ def with_findings(docs: DataFrame, text_col: str = "text", ledger: Ledger | None
     """docs with the column `out`: spans (kind, start, end) in code points, empty if none.
 
     docs may hold any number of paths and historical versions, one a row; a null text is an empty blob. Without a ledger a
-    new one is begun. Columns stay; one that is already named `out` or __blob is replaced.
+    new one is begun. Repeated rows are one blob and each get its spans; an empty table gives an empty one. A text of any length
+    is scanned whole. Columns stay, whatever their names; one that is already named `out` is replaced.
     """
     spark = docs.sparkSession
     ledger = ledger or Ledger(spark, scratch_path(spark, "ledger"))
-    ledger.update(docs.select(blob(F.col(text_col)).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), rules)
-    hits = ledger.rows().filter((F.col("rules") == rules) & (F.size("found") > 0)).select(F.col("blob").alias("__blob"), F.col("found").alias("__found")).dropDuplicates(["__blob"])
-    base = docs.drop(out, "__blob", "__found")
-    if not keep_text:
-        base = base.withColumn("__blob", blob(F.col(text_col))).drop(text_col)
-    else:
-        base = base.withColumn("__blob", blob(F.col(text_col)))
-    return base.join(hits, "__blob", "left").withColumn(out, F.coalesce("__found", F.expr(f"cast(array() as {FOUND})"))).drop("__blob", "__found")
+    ledger.update(docs.select(blob(col(text_col)).alias("blob"), F.coalesce(col(text_col), F.lit("")).alias("text")), rules)
+    key, hit = free(docs, "blob"), free(docs, "hits")
+    hits = ledger.rows().filter((F.col("rules") == rules) & (F.size("found") > 0)).select(F.col("blob").alias(key), F.col("found").alias(hit)).dropDuplicates([key])
+    kept = [col(c) for c in docs.columns if c != out and (keep_text or c != text_col)]
+    base = docs.select(*kept, blob(col(text_col)).alias(key))
+    return base.join(hits, key, "left").select(*kept, F.coalesce(F.col(hit), F.expr(f"cast(array() as {FOUND})")).alias(out))
 
 
 def _digest_column(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -131,15 +146,16 @@ def _digest_column(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: Ledger | None = None) -> DataFrame:
     """One row per document with counts and digests of its spans. Repeated rows each have a row; ids may be null."""
-    rows = with_findings(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), ledger=ledger, keep_text=False)
+    rows = with_findings(spread(docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))), ledger=ledger, keep_text=False)
     udf = arrow_udf(_digest_column, "struct<n_assign:long,n_access:long,n_hex:long,base_sha256:string,spans:string>")
     return rows.withColumn("d", udf("found")).select("doc_id", "d.*")
 
 
 def redact(docs: DataFrame, text_col: str = "text", ledger: Ledger | None = None) -> DataFrame:
     """docs with each span of its texts replaced by [kind]; overlapping spans are one, under the first one's kind. All
-    rows and columns stay; texts without findings are as they were."""
-    out = "__spans"
+    rows and columns stay, whatever their names; texts without findings are as they were, null ones stay null. An empty table
+    gives an empty one."""
+    out = free(docs, "spans")
     rows = with_findings(docs, text_col, ledger, out=out)
 
     def masked(text: pa.Array, spans: pa.Array) -> pa.Array:
@@ -158,4 +174,5 @@ def redact(docs: DataFrame, text_col: str = "text", ledger: Ledger | None = None
             done.append("".join(parts) + t[at:])
         return pa.array(done, pa.string())
 
-    return rows.withColumn(text_col, arrow_udf(masked, "string")(F.col(text_col), F.col(out))).select(*docs.columns)
+    new = arrow_udf(masked, "string")(col(text_col), F.col(out))
+    return rows.select(*[new.alias(c) if c == text_col else col(c) for c in docs.columns])
