@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import blocks, bounded, held_out, utf8
+from .common import blocks, bounded, col, every, free, held_out, spread, utf8
 from .decontam import words_of
 
 #: Rows at most that training reads: trusted positives, unlabelled texts.
@@ -193,15 +193,22 @@ def with_score(docs: DataFrame, model: Model | None, text_col: str = "text", out
         for batch in column:
             yield pa.array(np.concatenate([np.zeros(0), *(held.value.score(features(*utf8(b)).astype(np.float64)) for b in blocks(batch))]))
 
-    return docs.withColumn(out, arrow_udf(scored, "double")(F.col(text_col)))
+    return docs.withColumn(out, arrow_udf(scored, "double")(col(text_col)))
 
 
 def report(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document; repeated rows each have a row, ids may be null, other columns are ignored."""
-    rows = with_score(docs.select("doc_id", "text"), learn(docs, labels))
+    """One row per document. Repeated rows each have a row, ids may be null (held out), null and empty texts have a score like any
+    other, texts of any length are read whole, a score at the threshold is predicted 1, an empty table gives an empty result,
+    other columns are ignored, whatever their names."""
+    rows = with_score(spread(docs.select("doc_id", "text")), learn(docs, labels))
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs whose score reaches the threshold."""
-    return with_score(docs, learn(docs, labels), out="__score").filter(F.col("__score") >= threshold).select(*docs.columns)
+    """docs whose score reaches the threshold; a score at it stays.
+
+    Null and empty texts have a score like any other. Without a model (no labels, no documents) all have 0.5. Equal texts have
+    equal scores, so of repeated rows all stay or all go. An empty table stays empty; columns stay, whatever their names.
+    """
+    out = free(docs, "score")
+    return with_score(docs, learn(docs, labels), out=out).filter(F.col(out) >= threshold).select(*every(docs))
