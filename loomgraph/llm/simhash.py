@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import stored, texts
+from .common import col, spread, stored, texts
 
 SEED = 42
 WORDS = 3
@@ -189,16 +189,36 @@ def _union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+#: Rows that a task takes into one index: those of whole keys, as many as fit, or of one key.
+STEP_ROWS = 1 << 18
+
+
 def _chains(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """Rows (table, chunks, key, fp) of a partition -> spanning edges (a, b) of their links."""
-    held = list(batches)
-    if not held:
-        return
-    t = pa.Table.from_batches(held)
-    tab, pair, key, fp = (t.column(c).to_numpy().astype(np.int64) for c in ("tab", "pair", "key", "fp"))
-    chunk = t.column("chunk").to_numpy().astype(np.int64)
-    held = t = None
-    u = fp.view(np.uint64)
+    """Rows (fp, tab, key, chunk, pair), sorted by tab, key and pair -> spanning edges (a, b) of their links.
+
+    Keys come one after another, so a task holds STEP_ROWS rows, or the rows of one key and pair of chunks if these are more.
+    """
+    held: list[np.ndarray] = []
+    rows = 0
+    for batch in batches:
+        t = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("tab", "key", "pair", "chunk", "fp")])
+        held.append(t)
+        rows += t.shape[1]
+        if rows >= STEP_ROWS:
+            t = np.concatenate(held, 1)
+            # The last key may go on in the next batch.
+            open_ = (t[:3] == t[:3, -1:]).all(0)
+            cut = int(np.flatnonzero(~open_)[-1]) + 1 if not open_.all() else 0
+            if cut:
+                yield from _group_chains(t[:, :cut], bits)
+            held, rows = [t[:, cut:]], t.shape[1] - cut
+    if rows:
+        yield from _group_chains(np.concatenate(held, 1), bits)
+
+
+def _group_chains(rows: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    tab, key, pair, chunk, fp = rows
+    u = np.ascontiguousarray(fp).view(np.uint64)
     order = np.lexsort([gray_rank(u), pair, key, tab])
     tab, pair, key, u, chunk = tab[order], pair[order], key[order], u[order], chunk[order]
     change = np.concatenate([[True], (tab[1:] != tab[:-1]) | (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])])
@@ -230,8 +250,7 @@ def links(prints: DataFrame, bits: int = BITS, blocks: int = BLOCKS, most: int =
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("chunks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.least(j, F.col("chunk")).cast("long") * 65536 + F.greatest(j, F.col("chunk")))
     rows = rows.select("fp", "tab", "key", "chunk", F.explode(pairs).alias("pair"))
-    parts = prints.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    return rows.repartition(int(parts), "tab", "key", "pair").mapInArrow(lambda b: _chains(b, bits), "a long, b long")
+    return rows.repartition("tab", "key", "pair").sortWithinPartitions("tab", "key", "pair").mapInArrow(lambda b: _chains(b, bits), "a long, b long")
 
 
 def components(edges: DataFrame, label: str = "edges") -> DataFrame:
@@ -268,7 +287,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id stays null but links like any other. Texts without words (null, empty, blank) all have fingerprint 0. Rows with the
     same id each have a row. Other columns are ignored.
     """
-    prints = stored(docs.select(F.col(id_col).alias("doc_id"), fingerprint_udf(words, seed)(F.col(text_col)).alias("fp")), "prints")
+    prints = stored(spread(docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))).select("doc_id", fingerprint_udf(words, seed)(F.col("text")).alias("fp")), "prints")
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     roots = components(links(distinct.select("fp"), bits, blocks, most))
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
