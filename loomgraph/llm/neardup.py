@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import stored, texts
+from .common import col, every, free, spread, stored, texts
 from .simhash import _union, components, fingerprint, links, shingle_hashes
 
 WORDS, SIMILARITY = 5, 0.8
@@ -130,31 +130,35 @@ def related(marks: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """docs with one row of each group of near duplicates: that of the smallest id (a null one only if all are null).
 
-    Exact copies are near duplicates, also of texts without words, which are all alike. Of rows that share the smallest id and
-    its text, one stays. All columns of docs stay as they are. Texts without relatives are not moved again once that is known.
+    Exact copies are near duplicates, also of texts without words (null, empty, blank), which are all alike. Of rows that share
+    the smallest id and its text, the first by the order of their columns' JSON stays, so reruns agree. An empty table stays
+    empty. All columns of docs stay, whatever their names. Texts without relatives are not moved again once that is known.
     """
-    base = docs.drop("__of", "__id", "__n", "__family")
-    key = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    rows = base.select(key.alias("of"), F.col(text_col).alias("text")).select("of", arrow_udf(_marks, "struct<fp:long,bands:array<long>>")("text").alias("s"))
+    of, no, fam = free(docs, "of"), free(docs, "no"), free(docs, "family")
+    key = F.sha2(F.coalesce(col(text_col), F.lit("")), 256)
+    rows = spread(docs.select(key.alias("of"), col(text_col).alias("text"))).select("of", arrow_udf(_marks, "struct<fp:long,bands:array<long>>")("text").alias("s"))
     marks = rows.groupBy("of").agg(F.first("s").alias("s"), F.count("*").alias("n")).select("of", "n", "s.*")
     marks = stored(marks.withColumn("id", F.monotonically_increasing_id()), "marks")
     family = components(related(marks), "related").select(F.col("node").alias("id"), F.col("root").alias("family"))
-    known = marks.select("of", "id", "n").join(family, "id", "left").filter("n > 1 or family is not null").select(F.col("of").alias("__of"), F.col("id").alias("__id"), F.col("family").alias("__family"))
-    tagged = stored(base.withColumn("__of", key).join(known, "__of", "left"), "tagged")
-    alone, some = tagged.filter("__id is null"), tagged.filter("__id is not null")
+    known = marks.select("of", "id", "n").join(family, "id", "left").filter("n > 1 or family is not null").select(F.col("of").alias(of), F.col("id").alias(no), F.col("family").alias(fam))
+    tagged = stored(docs.withColumn(of, key).join(known, of, "left"), "tagged")
+    alone, some = tagged.filter(F.col(no).isNull()), tagged.filter(F.col(no).isNotNull())
     # Each text of a family once, in as many tasks as its family has chunks.
     n = F.count("*")
     chunks = F.ceil(n / F.greatest(F.lit(LEAST_CHUNK), F.least(F.lit(MOST_CHUNK), 4 * F.sqrt(n)))).cast("int")
     size = stored(family.groupBy("family").agg(chunks.alias("chunks")).filter("chunks > 1"), "families")
-    once = some.filter("__family is not null").select(F.col("__family").alias("family"), F.col("__id").alias("id"), F.col(text_col).alias("text")).dropDuplicates(["id"])
+    once = some.filter(F.col(fam).isNotNull()).select(F.col(fam).alias("family"), F.col(no).alias("id"), col(text_col).alias("text")).dropDuplicates(["id"])
     once = once.join(size, "family", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     chunk = F.pmod(F.xxhash64("id"), F.col("chunks"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.least(j, chunk).cast("long") * 65536 + F.greatest(j, chunk))
     once = once.select("family", F.explode(pairs).alias("pair"), "id", "text")
     edges = once.repartition("family", "pair").sortWithinPartitions("family", "pair", "id").mapInArrow(lambda b: _family_edges(b, least), "a long, b long")
-    roots = components(edges, "linked").select(F.col("node").alias("__id"), F.col("root").alias("__root"))
-    named = some.select(F.col(id_col).alias("d"), "__id", "__of").join(roots, "__id", "left").withColumn("__root", F.coalesce("__root", "__id"))
-    order = F.struct(F.col("d").isNull().alias("none"), F.col("d").alias("d"), F.col("__of").alias("of"))
-    stays = named.groupBy("__root").agg(F.min(order).alias("s")).select(F.col("s.d").alias("__d"), F.col("s.of").alias("__stays"))
-    kept = some.join(stays, (F.col("__of") == F.col("__stays")) & F.col(id_col).eqNullSafe(F.col("__d"))).dropDuplicates(["__stays", "__d"])
-    return alone.select(*docs.columns).union(kept.select(*docs.columns))
+    roots = components(edges, "linked").select(F.col("node").alias("no"), "root")
+    named = some.select(col(id_col).alias("d"), F.col(no).alias("no"), F.col(of).alias("of")).join(roots, "no", "left").withColumn("root", F.coalesce("root", "no"))
+    order = F.struct(F.col("d").isNull().alias("none"), F.col("d").alias("d"), F.col("of").alias("of"))
+    stays = named.groupBy("root").agg(F.min(order).alias("s")).select(F.col("s").alias(fam))
+    s = F.col(fam)
+    kept = some.drop(fam).join(stays, (F.col(of) == s["of"]) & col(id_col).eqNullSafe(s["d"]))
+    row = F.struct(*every(docs))
+    kept = kept.groupBy(F.col(of).alias(of), s["d"].alias(no)).agg(F.min_by(row, F.to_json(row)).alias(fam)).select(F.col(fam))
+    return alone.select(*every(docs)).union(kept.select(*[F.col(fam).getField(c).alias(c) for c in docs.columns]))
