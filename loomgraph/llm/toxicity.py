@@ -1,8 +1,10 @@
 """Toxicity: a linear classifier on character n-grams that are scaled by naive Bayes log-count ratios.
 
-A text's features are the n-grams of characters it has at all. For each n-gram r is the log of the ratio of its
-smoothed shares in toxic and other labelled texts; the classifier is logistic on presence times r. Counts are taken where the
-texts are; only the chosen n-grams and the bounded sample's rows over them reach the driver.
+A text's features are the n-grams of characters it has at all. For each n-gram r is naive Bayes's log-count ratio: the log of
+the ratio of its smoothed count in toxic texts to the sum of all n-grams' smoothed counts there, and the same in the other texts.
+The classifier is logistic on presence times r. Counts are taken where the texts are, over all n-grams of the labelled rows; an n-gram
+takes part if its shares of the two classes' texts differ by LEAST_GAIN standard deviations (there is no limit to how many
+do). Only these and the bounded sample's rows over them reach the driver.
 """
 
 from __future__ import annotations
@@ -16,12 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import blocks, bounded, held_out, texts
+from .common import blocks, bounded, col, held_out, spread, stored, texts
 
 SIZES = (3, 4, 5, 6)
-#: Labelled rows at most that training reads, and n-grams at most that it keeps.
-MOST_ROWS, MOST_GRAMS = 12_000, 1 << 14
-LEAST_DOCS = 4
+#: Labelled rows at most that training reads.
+MOST_ROWS = 12_000
+#: Standard deviations by which the shares of an n-gram in the two classes differ at least, to take part.
+LEAST_GAIN = 4.0
+#: Weight of the toxic side in the loss.
+TOXIC_SHARE = 0.4
 THRESHOLD = 0.5
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -104,11 +109,11 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(doc: np.ndarray, gram: np.ndarray, label: np.ndarray, ratios: np.ndarray, steps: int = 400, rate: float = 0.02, decay: float = 3e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression on presence times ratio; both classes weigh the same in the loss."""
+def fit(doc: np.ndarray, gram: np.ndarray, label: np.ndarray, ratios: np.ndarray, steps: int = 400, rate: float = 0.02, decay: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Logistic regression on presence times ratio; of the loss, TOXIC_SHARE is the toxic texts' together."""
     n, k = len(label), len(ratios)
     value = ratios[gram]
-    share = np.where(label == 1, 0.5 / max((label == 1).sum(), 1), 0.5 / max((label == 0).sum(), 1))
+    share = np.where(label == 1, TOXIC_SHARE / max((label == 1).sum(), 1), (1 - TOXIC_SHARE) / max((label == 0).sum(), 1))
     w, b = np.zeros(k), 0.0
     m, v = np.zeros(k + 1), np.zeros(k + 1)
     for step in range(1, steps + 1):
@@ -121,19 +126,28 @@ def fit(doc: np.ndarray, gram: np.ndarray, label: np.ndarray, ratios: np.ndarray
     return w, b
 
 
-def learn(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_grams: int = MOST_GRAMS) -> Model | None:
-    """The model from at most `most_rows` labelled rows outside the held-out fold; None if a class is missing."""
+def ratios(counts: DataFrame, toxic: int, other: int, least_gain: float = LEAST_GAIN) -> DataFrame:
+    """(gram, r, gain) of n-grams (gram, p toxic texts, q other texts) that tell the classes apart; toxic, other: labelled texts."""
+    sums = counts.agg(F.sum(F.col("p") + 1).alias("sp"), F.sum(F.col("q") + 1).alias("sq"))
+    both = counts.crossJoin(F.broadcast(sums))  # one row
+    r = F.log((F.col("p") + 1) / F.col("sp")) - F.log((F.col("q") + 1) / F.col("sq"))
+    pooled = (F.col("p") + F.col("q") + 1) / F.lit(toxic + other + 2.0)
+    gain = F.abs((F.col("p") + 0.5) / F.lit(toxic + 1.0) - (F.col("q") + 0.5) / F.lit(other + 1.0)) / F.sqrt(pooled * (1 - pooled) * F.lit(1.0 / toxic + 1.0 / other))
+    return both.select("gram", r.alias("r"), gain.alias("gain")).filter(F.col("gain") >= least_gain)
+
+
+def learn(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, least_gain: float = LEAST_GAIN) -> Model | None:
+    """The model from at most `most_rows` labelled rows outside the held-out fold; None if a class is missing. Where labels of one id
+    differ, each counts; null labels and ids do not."""
     fold = ~held_out(F.col("doc_id"))
     ids = bounded(labels.filter(fold & F.col("toxic").isin(0, 1)).select("doc_id", "toxic").distinct(), most_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.col("toxic").cast("long"), "text")
-    counts = rows.mapInArrow(_counts, "gram long, p long, q long").groupBy("gram").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    rows = stored(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.col("toxic").cast("long"), "text"), "labelled")
+    rows = spread(rows)
     totals = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not totals.get(0) or not totals.get(1):
         return None
-    counts = counts.filter(F.col("p") + F.col("q") >= LEAST_DOCS)
-    share_p, share_q = (F.col("p") + 1) / F.lit(totals[1] + 2.0), (F.col("q") + 1) / F.lit(totals[0] + 2.0)
-    gain = F.abs(share_p - share_q) / F.sqrt((F.col("p") + F.col("q") + 1) / F.lit(totals[0] + totals[1] + 2.0))
-    top = counts.select("gram", F.log(share_p / share_q).alias("r"), gain.alias("gain")).orderBy(F.desc("gain"), "gram").limit(most_grams).toArrow()
+    counts = stored(rows.mapInArrow(_counts, "gram long, p long, q long").groupBy("gram").agg(F.sum("p").alias("p"), F.sum("q").alias("q")), "gramcounts")
+    top = ratios(counts, totals[1], totals[0], least_gain).select("gram", "r").toArrow()
     h = top.column("gram").to_numpy().view(np.uint64)
     order = np.argsort(h)
     grams = Grams(h[order], top.column("r").to_numpy()[order])
@@ -167,10 +181,12 @@ def with_score(docs: DataFrame, model: Model | None, text_col: str = "text", out
         for batch in column:
             yield pa.array(np.concatenate([np.zeros(0), *(held.value.score(b) for b in blocks(batch))]))
 
-    return docs.withColumn(out, arrow_udf(scored, "double")(F.col(text_col)))
+    return docs.withColumn(out, arrow_udf(scored, "double")(col(text_col)))
 
 
 def report(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document; repeated rows each have a row, ids may be null, other columns are ignored."""
-    rows = with_score(docs.select("doc_id", "text"), learn(docs, labels))
+    """One row per document. Repeated rows each have a row, ids may be null (held out), null and empty texts have a score like any
+    other, texts of any length are read whole, a score at the threshold is predicted 1, an empty table gives an empty result,
+    other columns are ignored, whatever their names."""
+    rows = with_score(spread(docs.select("doc_id", "text")), learn(docs, labels))
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
