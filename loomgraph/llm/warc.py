@@ -9,6 +9,7 @@ records from bytes, joins those of one transaction through their identifiers and
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import col, stored
 
 #: Payloads below this are never revisits.
 LEAST_REVISIT = 100
@@ -32,17 +33,26 @@ def record_id(*parts) -> str:
     return f"<urn:uuid:{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:32]}>"
 
 
-def _line(value: str) -> str:
-    """A header's value on one line; line ends in it are percent-encoded."""
-    return value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+#: A header of this writer's own: the record's URIs have their line ends and percent signs percent-encoded.
+ESCAPED = "X-Loomgraph-URI-Escaped"
 
 
-def _unline(value: str) -> str:
-    return value.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+def _uris(uris: dict[str, str]) -> list[tuple[str, str]]:
+    """Headers of URIs as they are; if one has a line end, all are escaped and say so."""
+    if not any("\r" in v or "\n" in v or v != v.strip() for v in uris.values()):
+        return list(uris.items())
+    return [*((k, v.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A").replace(" ", "%20").replace("\t", "%09")) for k, v in uris.items()), (ESCAPED, "1")]
 
 
-def record(kind: str, rid: str, uri: str, body: bytes, content_type: str, **more: str) -> bytes:
-    head = [("WARC-Type", kind), ("WARC-Record-ID", rid), ("WARC-Date", DATE), ("WARC-Target-URI", _line(uri)), *((k.replace("_", "-"), v) for k, v in more.items()), ("Content-Type", content_type), ("Content-Length", str(len(body)))]
+def _unescaped(value: str) -> str:
+    for code, c in (("%09", "\t"), ("%20", " "), ("%0A", "\n"), ("%0D", "\r"), ("%25", "%")):
+        value = value.replace(code, c)
+    return value
+
+
+def record(kind: str, rid: str, uri: str, body: bytes, content_type: str, refers_uri: str | None = None, **more: str) -> bytes:
+    uris = {"WARC-Target-URI": uri} | ({} if refers_uri is None else {"WARC-Refers-To-Target-URI": refers_uri})
+    head = [("WARC-Type", kind), ("WARC-Record-ID", rid), ("WARC-Date", DATE), *_uris(uris), *((k.replace("_", "-"), v) for k, v in more.items()), ("Content-Type", content_type), ("Content-Length", str(len(body)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + CRLF + body + CRLF + CRLF
 
 
@@ -53,7 +63,7 @@ def _capture(page_id: str, url: str, html: bytes, digest: str, refers: str | Non
     if refers is None:
         main = record("response", rid, url, http + html, "application/http; msgtype=response", WARC_Payload_Digest=mark)
     else:
-        main = record("revisit", rid, url, http, "application/http; msgtype=response", WARC_Payload_Digest=mark, WARC_Profile=REVISIT_PROFILE, WARC_Refers_To_Target_URI=_line(refers_url), WARC_Refers_To_Date=DATE)
+        main = record("revisit", rid, url, http, "application/http; msgtype=response", refers_uri=refers_url, WARC_Payload_Digest=mark, WARC_Profile=REVISIT_PROFILE, WARC_Refers_To_Date=DATE)
     ask = record("request", record_id(rid, "request"), url, b"GET / HTTP/1.1\r\n\r\n", "application/http; msgtype=request", WARC_Concurrent_To=rid)
     fields = f"page-id: {page_id}\r\n" + (f"refers-to-page: {refers}\r\n" if refers is not None else "")
     meta = record("metadata", record_id(rid, "metadata"), url, fields.encode(), "application/warc-fields", WARC_Concurrent_To=rid)
@@ -88,7 +98,7 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     refer to it; rows that repeat the smallest id with its payload are all responses. A null payload is empty; a null id
     is never the smallest where there is another.
     """
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("html"))
+    rows = pages.select(col(id_col).cast("long").alias("page_id"), col(url_col).alias("url"), F.coalesce(col(text_col), F.lit("")).cast("binary").alias("html"))
     rows = rows.withColumn("digest", F.sha2("html", 256))
     least = rows.filter(F.octet_length("html") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("least"), F.min_by("url", "page_id").alias("uri"), F.count("*").alias("n")).filter("n > 1").select("digest", "least", "uri")
     again = F.col("least").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("least"))
@@ -100,47 +110,86 @@ def write_archives(pages: DataFrame, **columns: str) -> DataFrame:
     return stored(with_revisits(pages, **columns).mapInArrow(_archives, "archive binary"), "warc")
 
 
+_NONE = dict.fromkeys(("uri", "date", "concurrent_to", "refers_to", "digest", "http_head", "payload_bytes", "payload_digest", "payload", "fields"))
+
+
+def _fault(at: int, end: int, why: str) -> dict:
+    return _NONE | {"id": None, "type": "fault", "fields": {"at": str(at), "bytes": str(end - at), "reason": why}}
+
+
 def parse(archive: bytes) -> Iterator[dict]:
-    """The records of an archive. A broken one ends the archive: what follows it can't be told apart."""
-    at = 0
+    """The records of an archive, whatever its bytes. Where one is broken (no version line, no end of its headers, no length
+    or a wrong one), a row of type fault says where, how many bytes and why, and reading goes on at the next version line."""
+    at, bad, why = 0, -1, ""
     while at < len(archive):
-        if not archive.startswith(b"WARC/", at):
-            return
-        end = archive.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        headers = {}
-        for line in archive[at:end].decode().split("\r\n")[1:]:
-            k, _, v = line.partition(":")
-            headers[k.strip().lower()] = v.strip()
-        length = int(headers.get("content-length", 0))
-        body = archive[end + 4 : end + 4 + length]
-        if len(body) < length:
-            return
-        at = end + 4 + length + 4
-        kind = headers.get("warc-type", "")
-        r = {"id": headers.get("warc-record-id"), "type": kind, "uri": _unline(headers.get("warc-target-uri", "")), "date": headers.get("warc-date"), "concurrent_to": headers.get("warc-concurrent-to"), "refers_to": _unline(headers.get("warc-refers-to-target-uri", "")) or None, "digest": headers.get("warc-payload-digest"), "http_head": None, "payload_bytes": None, "payload_digest": None, "payload": None, "fields": None}
-        if kind in ("request", "response", "revisit"):
-            head, _, payload = body.partition(b"\r\n\r\n")
-            r["http_head"] = head.decode("utf-8", "replace")
-            if kind == "revisit":
-                size = next((x.partition(":")[2].strip() for x in r["http_head"].split("\r\n") if x.lower().startswith("content-length:")), None)
-                r["payload_bytes"] = int(size) if size else None
-                r["payload_digest"] = (r["digest"] or "").removeprefix("sha256:") or None
-            else:
-                r |= {"payload": payload, "payload_bytes": len(payload), "payload_digest": hashlib.sha256(payload).hexdigest()}
-        elif kind == "metadata":
-            r["fields"] = dict(x.split(": ", 1) for x in body.decode().split("\r\n") if ": " in x)
+        r, end = _record(archive, at)
+        if isinstance(r, str):
+            if bad < 0:
+                bad, why = at, r
+            found = archive.find(b"WARC/1.", at + 1)
+            at = found if found >= 0 else len(archive)
+            continue
+        if bad >= 0:
+            yield _fault(bad, at, why)
+            bad = -1
         yield r
+        at = end
+    if bad >= 0:
+        yield _fault(bad, len(archive), why)
+
+
+def _number(text: str | None) -> int | None:
+    return int(text) if text is not None and re.fullmatch("[0-9]{1,18}", text) else None
+
+
+def _record(archive: bytes, at: int) -> tuple[dict | str, int]:
+    """(a record and where the next one starts) or (why there is none, at)."""
+    if not archive.startswith(b"WARC/", at):
+        return "no version line", at
+    end = archive.find(b"\r\n\r\n", at)
+    if end < 0:
+        return "headers without an end", at
+    if re.search(rb"WARC/1\.[0-9]\r\n", archive[at + 1 : end]):
+        return "headers cut by another record", at
+    headers: dict[str, list[str]] = {}
+    for line in archive[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
+        k, _, v = line.partition(":")
+        headers.setdefault(k.strip().lower(), []).append(v.strip())
+    one = lambda k: headers.get(k, [None])[0]
+    length = _number(one("content-length"))
+    if length is None:
+        return "no length", at
+    body = archive[end + 4 : end + 4 + length]
+    after = end + 4 + length
+    if len(body) < length:
+        return "truncated", at
+    if archive[after : after + 4] != b"\r\n\r\n":
+        return "length and end differ", at
+    kind = one("warc-type") or ""
+    text = _unescaped if one(ESCAPED.lower()) == "1" else str
+    r = _NONE | {"id": one("warc-record-id"), "type": kind, "uri": text(one("warc-target-uri") or ""), "date": one("warc-date"), "concurrent_to": headers.get("warc-concurrent-to"), "refers_to": text(one("warc-refers-to-target-uri") or "") or None, "digest": one("warc-payload-digest")}
+    if kind in ("request", "response", "revisit"):
+        head, _, payload = body.partition(b"\r\n\r\n")
+        r["http_head"] = head.decode("utf-8", "replace")
+        if kind == "revisit":
+            r["payload_bytes"] = _number(next((x.partition(":")[2].strip() for x in r["http_head"].split("\r\n") if x.lower().startswith("content-length:")), None))
+            r["payload_digest"] = (r["digest"] or "").removeprefix("sha256:") or None
+        else:
+            r |= {"payload": payload, "payload_bytes": len(payload), "payload_digest": hashlib.sha256(payload).hexdigest()}
+    elif kind == "metadata":
+        r["fields"] = dict(x.split(": ", 1) for x in body.decode("utf-8", "replace").split("\r\n") if ": " in x)
+    return r, after + 4
 
 
 _KEPT = ("id", "type", "uri", "date", "concurrent_to", "refers_to", "digest", "http_head", "payload_bytes", "payload_digest", "payload", "fields")
-_KINDS = dict.fromkeys(_KEPT, pa.string()) | {"payload_bytes": pa.int64(), "payload": pa.binary(), "fields": pa.map_(pa.string(), pa.string())}
-SCHEMA = ", ".join(f"{c} {'long' if c == 'payload_bytes' else 'binary' if c == 'payload' else 'map<string,string>' if c == 'fields' else 'string'}" for c in _KEPT)
+_KINDS = dict.fromkeys(_KEPT, pa.string()) | {"payload_bytes": pa.int64(), "payload": pa.binary(), "fields": pa.map_(pa.string(), pa.string()), "concurrent_to": pa.list_(pa.string())}
+_SQL = {"payload_bytes": "long", "payload": "binary", "fields": "map<string,string>", "concurrent_to": "array<string>"}
+SCHEMA = ", ".join(f"{c} {_SQL.get(c, 'string')}" for c in _KEPT)
 
 
 def read_records(archives: DataFrame, payloads: bool = True) -> DataFrame:
-    """One row per record of the binary column archive; payload is null if payloads is False."""
+    """One row per record of the binary column archive, faults included (see parse()); payload is null if payloads is False.
+    A null archive has no records."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,19 +204,21 @@ def read_records(archives: DataFrame, payloads: bool = True) -> DataFrame:
 def captures(records: DataFrame) -> DataFrame:
     """One row per capture: its id and uri, and the nested request, main (response or revisit) and metadata records.
 
-    Records meet through concurrent-to identifiers; a part that is missing is null. Repeated records of a kind: the one of
-    the smallest id stands.
+    Records meet through concurrent-to identifiers; one that names several stands in each of these captures; a part that is missing is null.
+    Repeated records of a kind: the one of the smallest id stands. Faults and records without an identifier are in none.
     """
-    keyed = records.withColumn("capture", F.coalesce("concurrent_to", "id"))
+    keyed = records.filter("type <> 'fault'").withColumn("capture", F.explode(F.when(F.size("concurrent_to") > 0, F.col("concurrent_to")).otherwise(F.array("id")))).filter("capture is not null")
     pick = lambda kinds: F.min_by(F.when(F.col("type").isin(*kinds), F.struct(*_KEPT)), F.when(F.col("type").isin(*kinds), F.col("id")))
     return keyed.groupBy("capture").agg(pick(["request"]).alias("request"), pick(["response", "revisit"]).alias("main"), pick(["metadata"]).alias("metadata"))
 
 
 def report(pages: DataFrame) -> DataFrame:
-    """Writes the pages to archives, reads them back and returns one row per capture. Repeated rows each have a row."""
+    """Writes the pages to archives, reads them back and returns one row per capture. Repeated rows each have a row; a null url
+    or id is empty there and null in the result; a payload of any length is one record; an empty table gives an empty result; other columns
+    are ignored, whatever their names."""
     got = captures(read_records(write_archives(pages), payloads=False))
-    m, f = F.col("main"), F.col("metadata")["fields"]
-    return got.filter(m.isNotNull()).select(F.expr("try_cast(metadata.fields['page-id'] AS long)").alias("page_id"), m["payload_bytes"].alias("payload_bytes"), m["payload_digest"].alias("payload_digest"), m["type"].alias("record_type"), f["refers-to-page"].cast("long").alias("refers_to"))
+    m = F.col("main")
+    return got.filter(m.isNotNull()).select(F.expr("try_cast(metadata.fields['page-id'] AS long)").alias("page_id"), m["payload_bytes"].alias("payload_bytes"), m["payload_digest"].alias("payload_digest"), m["type"].alias("record_type"), F.expr("try_cast(metadata.fields['refers-to-page'] AS long)").alias("refers_to"))
 
 
 ORACLE = """
