@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import stored, texts
+from .common import col, spread, stored, texts
 
 PACKET, SYNC = 188, 0x47
 PMT_PID, ES_PID, PROGRAM = 0x1000, 0x0100, 1
@@ -108,123 +108,206 @@ def write_stream(payload: bytes) -> bytes:
 
 @dataclass
 class Stream:
-    """What a reader finds; faults counts broken packets, checksums, continuity and lengths."""
+    """What a reader finds; faults counts lost synchronisation, broken packets, checksums, continuity and lengths."""
 
-    payload: bytes = b""
+    payload: bytes = b""  # of the first program's first stream, as are stamps, offsets and points
     program: int | None = None
     pmt_pid: int | None = None
     es_pid: int | None = None
     stream_type: int | None = None
+    programs: int = 0
+    streams: int = 0  # elementary streams of all programs
     packets: int = 0
     faults: int = 0
     stamps: list[int] = field(default_factory=list)  # of each unit
     offsets: list[int] = field(default_factory=list)  # of each unit in the payload
     points: list[int] = field(default_factory=list)  # units at which a reader can start
+    others: dict[int, bytes] = field(default_factory=dict)  # payloads of other streams by their packet identifier
 
     def feature(self) -> str:
         return f"program={self.program};type={self.stream_type};packets={self.packets};units={len(self.stamps)};points={len(self.points)};last_pts={self.stamps[-1] if self.stamps else ''};faults={self.faults}"
 
 
-def _read_section(data: bytes, table_id: int) -> bytes | None:
-    """The body of the section after a pointer field, if it is whole and its checksum holds."""
-    at = 1 + data[0]
-    if at + 3 > len(data) or data[at] != table_id:
-        return None
-    end = at + 3 + ((data[at + 1] & 0x0F) << 8 | data[at + 2])
-    if end > len(data) or crc32_mpeg(data[at:end]):
-        return None
-    return data[at + 8 : end - 4]
+class _Sections:
+    """Assembles the sections of one packet identifier; a section may go over several packets, several may end in one."""
+
+    def __init__(self) -> None:
+        self.held: bytes | None = None
+
+    def take(self, data: bytes, start: bool) -> list[bytes | None]:
+        """The sections that data completes; None for a broken one."""
+        out: list[bytes | None] = []
+        if start:
+            if not data or data[0] >= len(data):
+                self.held = None
+                return [None]
+            if self.held is not None:
+                self.held += data[1 : 1 + data[0]]
+                out += self._whole()
+                if self.held:
+                    out.append(None)  # the next one starts before its end
+            self.held = data[1 + data[0] :]
+        elif self.held is not None:
+            self.held += data
+        return out + self._whole()
+
+    def _whole(self) -> list[bytes | None]:
+        out: list[bytes | None] = []
+        while self.held is not None and len(self.held) >= 3:
+            if self.held[0] == 0xFF:
+                self.held = None  # stuffing to the packet's end
+                break
+            n = 3 + ((self.held[1] & 0x0F) << 8 | self.held[2])
+            if len(self.held) < n:
+                break
+            section, self.held = self.held[:n], self.held[n:]
+            out.append(section if n >= 12 and not crc32_mpeg(section) else None)
+        return out
+
+
+class _Units:
+    """Reassembles the PES packets of one elementary stream."""
+
+    def __init__(self, s: Stream) -> None:
+        self.s, self.parts, self.bodies, self.size, self.point = s, [], [], 0, False
+        self.stamps: list[int] = []
+        self.offsets: list[int] = []
+        self.points: list[int] = []
+
+    def take(self, data: bytes, start: bool, random: bool) -> None:
+        if start:
+            self.close()
+            self.point = random
+        if start or self.parts:
+            self.parts.append(data)
+
+    def close(self) -> None:
+        if not self.parts:
+            return
+        data = b"".join(self.parts)
+        self.parts = []
+        whole = len(data) >= 14 and data[:3] == b"\x00\x00\x01" and int.from_bytes(data[4:6], "big") in (0, len(data) - 6)
+        if not whole or not data[7] & 0x80 or 9 + data[8] > len(data):
+            self.s.faults += 1
+            return
+        p = data[9:14]
+        if self.point:
+            self.points.append(len(self.bodies))
+        self.stamps.append((p[0] >> 1 & 7) << 30 | p[1] << 22 | p[2] >> 1 << 15 | p[3] << 7 | p[4] >> 1)
+        self.offsets.append(self.size)
+        self.bodies.append(data[9 + data[8] :])
+        self.size += len(self.bodies[-1])
 
 
 def read_stream(media: bytes) -> Stream:
-    """Parses a transport stream; what is broken is counted in faults and left out."""
+    """Parses a transport stream, whatever its bytes; what is broken is counted in faults and left out.
+
+    Where a packet doesn't start with the sync byte, reading goes on at the next sync byte that another one follows a packet later, or
+    that is the last. A packet that repeats the one before it (same counter, same bytes) is taken once, as the format allows.
+    """
     s = Stream()
-    last: dict[int, int] = {}
-    seen: dict[bytes, bytes | None] = {}
-    units: list[bytes] = []
-    size = 0
-    pes: list[bytes] = []
-
-    def close() -> None:
-        nonlocal size
-        if not pes:
-            return
-        data = b"".join(pes)
-        pes.clear()
-        length = int.from_bytes(data[4:6], "big")
-        if data[:3] != b"\x00\x00\x01" or len(data) != 6 + length or not data[7] & 0x80:
-            s.faults += 1
-            return
-        p = data[9:14]
-        s.stamps.append((p[0] >> 1 & 7) << 30 | p[1] << 22 | p[2] >> 1 << 15 | p[3] << 7 | p[4] >> 1)
-        body = data[9 + data[8] :]
-        s.offsets.append(size)
-        units.append(body)
-        size += len(body)
-
-    for at in range(0, len(media), PACKET):
-        if at + PACKET > len(media) or media[at] != SYNC:
+    last: dict[int, tuple[int, bytes]] = {}
+    sections: dict[int, _Sections] = {0: _Sections()}
+    maps: dict[int, int] = {}  # identifier of a program map -> program
+    units: dict[int, _Units] = {}
+    seen: dict[bytes, bool] = {}
+    at, end = 0, len(media)
+    while at < end:
+        if media[at] != SYNC or at + PACKET > end:
             s.faults += 1
+            at += 1
+            while 0 <= (at := media.find(SYNC, at)) and not (at + PACKET == end or at + PACKET < end and media[at + PACKET] == SYNC):
+                at += 1
+            if at < 0:
+                break
             continue
         s.packets += 1
         b1, b3 = media[at + 1], media[at + 3]
         pid = (b1 & 0x1F) << 8 | media[at + 2]
-        if b3 & 0x10:
-            counter = b3 & 0x0F
-            if last.get(pid, counter - 1 & 15) != counter - 1 & 15:
-                s.faults += 1
-            last[pid] = counter
-        start = at + 4
-        random = False
+        start, stop, random = at + 4, at + PACKET, False
+        at = stop
+        if b1 & 0x80:
+            s.faults += 1  # marked as damaged by the transport
+            continue
         if b3 & 0x20:
             n = media[start]
+            if n > PACKET - 5:
+                s.faults += 1
+                continue
             random = n > 0 and bool(media[start + 1] & 0x40)
             start += 1 + n
-        if not b3 & 0x10:
+        if not b3 & 0x10 or pid == 0x1FFF:
             continue
-        if pid == s.es_pid:
-            if b1 & 0x40:
-                close()
-                if random:
-                    s.points.append(len(units))
-            if b1 & 0x40 or pes:
-                pes.append(media[start : at + PACKET])
-        elif pid == 0 or pid == s.pmt_pid:
-            part = media[start : at + PACKET]
-            if part not in seen:
-                seen[part] = _read_section(part, 0 if pid == 0 else 2)
-            body = seen[part]
-            if body is None:
+        counter, data = b3 & 0x0F, media[start:stop]
+        if pid in last:
+            if last[pid][0] == counter and last[pid][1] == data:
+                last[pid] = (counter, b"")  # once only
+                continue
+            if last[pid][0] != counter - 1 & 15:
                 s.faults += 1
-            elif pid == 0:
-                s.program, s.pmt_pid = int.from_bytes(body[:2], "big"), (body[2] & 0x1F) << 8 | body[3]
-            else:
-                info = (body[2] & 0x0F) << 8 | body[3]
-                entry = body[4 + info :]
-                s.stream_type, s.es_pid = entry[0], (entry[1] & 0x1F) << 8 | entry[2]
-    close()
-    s.payload = b"".join(units)
+        last[pid] = (counter, data)
+        if pid in units:
+            units[pid].take(data, bool(b1 & 0x40), random)
+        elif pid == 0 or pid in maps:
+            for body in sections[pid].take(data, bool(b1 & 0x40)):
+                if body is None:
+                    s.faults += 1
+                elif body not in seen:
+                    seen[body] = True
+                    _table(s, body, pid, maps, sections, units)
+    for u in units.values():
+        u.close()
+    s.programs, s.streams = len(set(maps.values())), len(units)
+    for pid, u in units.items():
+        if pid == s.es_pid:
+            s.payload, s.stamps, s.offsets, s.points = b"".join(u.bodies), u.stamps, u.offsets, u.points
+        else:
+            s.others[pid] = b"".join(u.bodies)
     return s
 
 
+def _table(s: Stream, section: bytes, pid: int, maps: dict[int, int], sections: dict[int, _Sections], units: dict[int, _Units]) -> None:
+    """Takes a program association (identifier 0) or program map section."""
+    body = section[8:-4]
+    if pid == 0 and section[0] == 0:
+        for k in range(0, len(body) - 3, 4):
+            program, of = int.from_bytes(body[k : k + 2], "big"), (body[k + 2] & 0x1F) << 8 | body[k + 3]
+            if program:  # 0 names the network's tables
+                maps.setdefault(of, program)
+                sections.setdefault(of, _Sections())
+                if s.program is None:
+                    s.program, s.pmt_pid = program, of
+    elif pid in maps and section[0] == 2 and len(body) >= 4:
+        k = 4 + ((body[2] & 0x0F) << 8 | body[3])
+        while k + 5 <= len(body):
+            kind, of = body[k], (body[k + 1] & 0x1F) << 8 | body[k + 2]
+            units.setdefault(of, _Units(s))
+            if s.es_pid is None and pid == s.pmt_pid:
+                s.stream_type, s.es_pid = kind, of
+            k += 5 + ((body[k + 3] & 0x0F) << 8 | body[k + 4])
+    else:
+        s.faults += 1
+
+
 def to_media(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in column:
         yield pa.array((write_stream(padded(t)) for t in texts(batch)), pa.binary())
 
 
-DIGEST = "struct<payload_bytes:long,payload_sha256:string,tail_crc32:long,media_bytes:long,media_sha256:string,feature:string>"
+DIGEST = "struct<payload_bytes:long,payload_sha256:string,tail_crc32:long,media_bytes:long,media_sha256:string,feature:string,stamps:array<long>,points:array<struct<stamp:long,offset:long>>,faults:long>"
 PARSED = "struct<payload:binary,program:int,stream_type:int,packets:long,faults:long,stamps:array<long>,offsets:array<long>,points:array<long>>"
 
 
 def digests(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "stamps", "points", "faults"]
+    point = pa.struct([("stamp", pa.int64()), ("offset", pa.int64())])
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(point), pa.int64()]
     for batch in column:
         rows = []
         for x in batch:
             media = x.as_py() or b""
             s = read_stream(media)
-            rows.append((len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-ALIGN:]), len(media), hashlib.sha256(media).hexdigest(), s.feature()))
+            rows.append((len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-ALIGN:]), len(media), hashlib.sha256(media).hexdigest(), s.feature(), s.stamps, [{"stamp": s.stamps[p], "offset": s.offsets[p]} for p in s.points], s.faults))
         cols = list(zip(*rows)) or [()] * len(names)
         yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
@@ -236,20 +319,23 @@ def parsed(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def with_media(docs: DataFrame, text_col: str = "text", out: str = "media") -> DataFrame:
-    """docs with the binary column `out`: the text's UTF-8 bytes (null: none), padded, as a transport stream."""
-    return docs.withColumn(out, arrow_udf(to_media, "binary")(F.col(text_col)))
+    """docs with the binary column `out`: the text's UTF-8 bytes (null: none), padded, as a transport stream. Columns stay; one
+    that is already named `out` is replaced."""
+    return docs.withColumn(out, arrow_udf(to_media, "binary")(col(text_col)))
 
 
 def with_parsed(rows: DataFrame, media_col: str = "media", out: str = "stream") -> DataFrame:
     """rows with the struct `out`: payload, program, stream_type, packets, faults, stamps, offsets and points."""
-    return rows.withColumn(out, arrow_udf(parsed, PARSED)(F.col(media_col)))
+    return rows.withColumn(out, arrow_udf(parsed, PARSED)(col(media_col)))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes every document's stream to a table in the shared folder, reads that and returns digests of what it holds.
 
-    A null or empty text is 64 zero bytes. Repeated rows each have a row, ids may be null, other columns are ignored.
+    Besides: the time stamps of all units, the random-access points as (time stamp, byte offset in the payload), and faults. A null or
+    empty text is 64 zero bytes; one of any length is one stream. Repeated rows each have a row, ids may be null, an empty table
+    gives an empty result, other columns are ignored, whatever their names.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("text"))
+    rows = spread(docs.select(col(id_col).alias("doc_id"), F.coalesce(F.octet_length(col(text_col)), F.lit(0)).cast("long").alias("n_bytes"), col(text_col).alias("text")))
     kept = stored(with_media(rows, "text").drop("text"), "media")
     return kept.withColumn("d", arrow_udf(digests, DIGEST)("media")).select("doc_id", "n_bytes", "d.*")
