@@ -16,30 +16,34 @@ from loomgraph.session import ship
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score reaches the classifier's threshold."""
+    """Documents whose quality score reaches the classifier's threshold; odd rows, empty tables and clashing columns as in quality.keep_good()."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8), that of the smallest id."""
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8), that of the smallest id;
+    odd rows, empty tables and clashing columns as in neardup.deduplicate()."""
     ship(spark)
     return neardup.deduplicate(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that benchmark windows don't hit in a twentieth of their words or more."""
+    """Documents without a verbatim match of 13 words or more with a benchmark item, however long they are, and that shorter items
+    don't hit in a twentieth of their words; odd rows, empty tables and clashing columns as in decontam.decontaminate()."""
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with each secret in their texts replaced by its kind; n_chars follows the text."""
+    """All documents, with each secret in their texts replaced by its kind; n_chars follows the text. Null texts stay null; the
+    rest as in secrets.redact()."""
     ship(spark)
     out = secrets.redact(docs)
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture: each document as often as systematic sampling takes it, its copies numbered from 0 in `copy`."""
+    """The mixture: each document as often as systematic sampling takes it, its copies numbered from 0 in `copy`;
+    odd rows, empty tables and clashing columns as in mixing.emit()."""
     return mixing.emit(docs)
 
 
