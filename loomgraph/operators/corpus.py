@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
+from loomgraph.session import stored
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 1200, overlap: int = 100, least: int = 50) -> DataFrame:
@@ -53,16 +56,35 @@ def top_concepts(tokens: DataFrame, n: DataFrame, k: int = 5, least_df: int = 2)
 
 
 class Corpus:
-    """The derived tables of a document table, each built once on demand and kept lazy."""
+    """The derived tables of a document table. Chunks are read from the documents; those that need a pass over all texts or a shuffle
+    are written once to the scratch folder when they are first asked for, and what builds on them reads them there."""
 
     def __init__(self, docs: DataFrame):
         self.chunks = chunks(docs)
-        self.tokens = token_counts(self.chunks)
-        self.lens = lengths(self.chunks)
-        self.n = totals(self.lens)
-        self.cc = top_concepts(self.tokens, self.n)
-        self.idf = idf_of(self.cc, self.n)
-        self.m = weights(self.cc, self.idf, self.lens, self.n)
+
+    @cached_property
+    def tokens(self) -> DataFrame:
+        return stored(token_counts(self.chunks), "tokens")
+
+    @cached_property
+    def lens(self) -> DataFrame:
+        return stored(lengths(self.chunks), "lengths")
+
+    @cached_property
+    def n(self) -> DataFrame:
+        return stored(totals(self.lens), "totals")
+
+    @cached_property
+    def cc(self) -> DataFrame:
+        return stored(top_concepts(self.tokens, self.n), "chunk_concepts")
+
+    @cached_property
+    def idf(self) -> DataFrame:
+        return stored(idf_of(self.cc, self.n), "idf")
+
+    @cached_property
+    def m(self) -> DataFrame:
+        return stored(weights(self.cc, self.idf, self.lens, self.n), "weights")
 
 
 def idf_of(cc: DataFrame, n: DataFrame) -> DataFrame:

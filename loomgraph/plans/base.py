@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.session import ship
+from loomgraph.session import ship, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,8 +24,13 @@ def query(name: str, sql: str | None = None):
     return take
 
 
+#: Tables of texts, whose rows are worth spreading over all cores.
+TEXTS = frozenset(["documents", "pages", "conversations"])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    found = ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(found) if name in TEXTS else found
 
 
 #: Common table expressions of the checks, each needing those before it.

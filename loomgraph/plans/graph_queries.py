@@ -14,12 +14,13 @@ from loomgraph.operators import graph as G
 from loomgraph.operators import lexical as L
 from loomgraph.operators import ranking as R
 from loomgraph.operators import vectors as V
+from loomgraph.session import once, stored
 
 from .base import CHUNKS, CONCEPTS, RELATIONS, SEEDS, STOP_SQL, TOKENS, query, table
 from .text_queries import POS, STEM
 
 
-class Graph(O.Corpus):
+class Index(O.Corpus):
     """The concept graph of the documents, with the benchmark's texts as questions."""
 
     def __init__(self, spark, d):
@@ -29,7 +30,7 @@ class Graph(O.Corpus):
 
     @cached_property
     def dense(self):
-        return R.top(G.lexical_scores(self.questions, self.tokens, self.n), 100)
+        return stored(R.top(G.lexical_scores(self.questions, self.tokens, self.n), 100), "dense")
 
     @cached_property
     def seeds(self):
@@ -37,11 +38,11 @@ class Graph(O.Corpus):
 
     @cached_property
     def own(self):
-        return G.seed_concepts(self.seeds, self.cc)
+        return stored(G.seed_concepts(self.seeds, self.cc), "seed_concepts")
 
     @cached_property
     def relations(self):
-        return G.relations(self.cc)
+        return stored(G.relations(self.cc), "relations")
 
     @cached_property
     def adjacent(self):
@@ -49,7 +50,12 @@ class Graph(O.Corpus):
 
     @cached_property
     def flat(self):
-        return G.propagate(self.own, self.m, self.seeds)
+        return stored(G.propagate(self.own, self.m, self.seeds), "flat")
+
+
+def Graph(spark, d) -> Index:
+    """The index of the tables at d, whose tables are written when a query first needs them and then shared."""
+    return once(spark, "graph", d, lambda: Index(spark, d))
 
 
 def rounded(df, *cols, digits=6):
@@ -209,13 +215,7 @@ def _(spark, d):
     return G.onset(_readout(Graph(spark, d)))
 
 
-@query("con_05_layer_overlap", "WITH " + READOUT + ", a AS (SELECT layer, token FROM ro WHERE chunk_id = '0::chunk_0'), b AS (SELECT layer, token FROM ro WHERE chunk_id = '1::chunk_0') SELECT layer, (SELECT count(*) FROM (SELECT token FROM a WHERE a.layer = l.layer INTERSECT SELECT token FROM b WHERE b.layer = l.layer))::INT AS both, (SELECT count(*) FROM (SELECT token FROM a WHERE a.layer = l.layer EXCEPT SELECT token FROM b WHERE b.layer = l.layer))::INT AS only_first, (SELECT count(*) FROM (SELECT token FROM b WHERE b.layer = l.layer EXCEPT SELECT token FROM a WHERE a.layer = l.layer))::INT AS only_second FROM (SELECT layer FROM a UNION SELECT layer FROM b) l")
-def _(spark, d):
-    r = _readout(Graph(spark, d))
-    return G.compare_layers(r.filter("chunk_id = '0::chunk_0'"), r.filter("chunk_id = '1::chunk_0'"))
-
-
-@query("con_05_layer_overlap_next")
+@query("con_05_layer_overlap", "WITH " + READOUT + ", p AS (SELECT x.chunk_id AS first, y.chunk_id AS second FROM chunks x JOIN chunks y ON x.doc_id = y.doc_id AND y.ord = x.ord + 1), r AS (SELECT DISTINCT chunk_id, layer, token FROM ro), a AS (SELECT p.first, p.second, r.layer, r.token FROM p JOIN r ON r.chunk_id = p.first), b AS (SELECT p.first, p.second, r.layer, r.token FROM p JOIN r ON r.chunk_id = p.second) SELECT first, second, layer, (count(*) FILTER (WHERE x AND y))::INT AS both, (count(*) FILTER (WHERE x AND NOT y))::INT AS only_first, (count(*) FILTER (WHERE y AND NOT x))::INT AS only_second FROM (SELECT coalesce(a.first, b.first) AS first, coalesce(a.second, b.second) AS second, coalesce(a.layer, b.layer) AS layer, a.token IS NOT NULL AS x, b.token IS NOT NULL AS y FROM a FULL JOIN b ON a.first = b.first AND a.second = b.second AND a.layer = b.layer AND a.token = b.token) GROUP BY 1, 2, 3")
 def _(spark, d):
     """Every chunk with the next of its document."""
     g = Graph(spark, d)
@@ -235,17 +235,9 @@ def _(spark, d):
     return rounded(Graph(spark, d).relations, "prob")
 
 
-@query("rel_04_pair_context", "WITH " + RELATIONS + """, p AS (SELECT a.concept AS a, b.concept AS b FROM (SELECT concept FROM idf ORDER BY df DESC, concept LIMIT 15) a JOIN (SELECT concept FROM idf ORDER BY df DESC, concept LIMIT 15) b ON a.concept < b.concept), s AS (SELECT cc.*, length(c.text) AS size FROM cc JOIN chunks c USING (chunk_id)),
+@query("rel_04_pair_context", "WITH " + RELATIONS + """, p AS (SELECT a, b FROM relations), s AS (SELECT cc.*, length(c.text) AS size FROM cc JOIN chunks c USING (chunk_id)),
 com AS (SELECT p.a, p.b, arg_min(x.chunk_id, {'s': x.size, 'c': x.chunk_id}) AS bo FROM p JOIN s x ON x.concept = p.a JOIN s y ON y.concept = p.b AND y.chunk_id = x.chunk_id GROUP BY 1, 2), one AS (SELECT concept, arg_min(chunk_id, {'s': size, 'c': chunk_id}) AS own FROM s GROUP BY 1)
 SELECT p.a, p.b, CASE WHEN com.bo IS NOT NULL THEN 'common' ELSE 'joined' END AS strategy, coalesce(com.bo, x.own || '+' || y.own) AS context FROM p LEFT JOIN com USING (a, b) LEFT JOIN one x ON x.concept = p.a LEFT JOIN one y ON y.concept = p.b""")
-def _(spark, d):
-    g = Graph(spark, d)
-    names = g.idf.orderBy(F.desc("df"), "concept").limit(15)
-    pairs = names.select(F.col("concept").alias("a")).join(names.select(F.col("concept").alias("b")), F.col("a") < F.col("b"))
-    return G.pair_context(pairs, g.cc, g.chunks)
-
-
-@query("rel_04_pair_context_relations")
 def _(spark, d):
     """All pairs of the relations."""
     g = Graph(spark, d)
@@ -257,10 +249,15 @@ def _(spark, d):
     return Graph(spark, d).relations.orderBy(F.desc("n"), "a", "b").limit(50).select("a", "b", "n")
 
 
-@query("rel_07_buckets", f"SELECT word, CASE {STEM.format(w='word')} WHEN 'causal' THEN 'causal' WHEN 'complex' THEN 'structural' WHEN 'critical' THEN 'importance' WHEN 'often' THEN 'assoc' WHEN 'treat' THEN 'treat' ELSE 'other' END AS bucket FROM (VALUES ('causal'), ('complexes'), ('critical'), ('often'), ('treats'), ('blue')) t(word)")
+BUCKET_SQL = "CASE st " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in G.BUCKETS.items()) + " ELSE 'other' END"
+
+
+@query("rel_07_buckets", "WITH " + CHUNKS + f", w AS (SELECT DISTINCT w AS word FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents UNION ALL SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) FROM conversations) UNION SELECT unnest([{', '.join(repr(k) for k in G.BUCKETS)}]) ) SELECT word, {BUCKET_SQL} AS bucket FROM (SELECT word, {STEM.format(w='word')} AS st FROM w)")
 def _(spark, d):
-    words = spark.createDataFrame([(w,) for w in ("causal", "complexes", "critical", "often", "treats", "blue")], "word string")
-    return words.select("word", G.relation_bucket(F.col("word")).alias("bucket"))
+    """Every word of the documents and conversations, and the rules' own words."""
+    words = [table(spark, d, t).select(F.explode(T.words("text")).alias("word")) for t in ("documents", "conversations")]
+    own = spark.createDataFrame([(w,) for w in G.BUCKETS], "word string")
+    return words[0].union(words[1]).distinct().union(own).distinct().select("word", G.relation_bucket(F.col("word")).alias("bucket"))
 
 
 @query("rel_09_disambiguation", "WITH " + RELATIONS + f", l AS (SELECT concept, list(DISTINCT {STEM.format(w='o.dst')}) AS w FROM idf JOIN adj o ON o.src = concept GROUP BY 1) SELECT r.a, r.b, CASE WHEN len(list_intersect(x.w, y.w)) >= 2 THEN 'same' WHEN len(list_intersect(x.w, y.w)) = 1 THEN 'near' ELSE 'diff' END AS verdict FROM relations r JOIN l x ON x.concept = r.a JOIN l y ON y.concept = r.b")
@@ -351,7 +348,7 @@ def _(spark, d):
 
 
 PPR = RELATIONS + """, pe AS (SELECT src, dst, sum(w) AS w FROM (SELECT src, dst, greatest(prob, 1e-3) AS w FROM adj UNION ALL SELECT concept, chunk_id, 1.0 FROM cc UNION ALL SELECT chunk_id, concept, 1.0 FROM cc) GROUP BY 1, 2), po AS (SELECT src, sum(w) AS o FROM pe GROUP BY 1), pt AS (SELECT src, dst, w / o AS t FROM pe JOIN po USING (src)),
-ps AS (SELECT 0::BIGINT AS qid, concept AS node, 1.0 / count(*) OVER () AS s FROM seed_concepts WHERE qid = 0),
+ps AS (SELECT qid, concept AS node, 1.0 / count(*) OVER (PARTITION BY qid) AS s FROM seed_concepts),
 pr AS (SELECT 0 AS k, qid, node, s AS p FROM ps UNION ALL SELECT k + 1, qid, node, sum(p) FROM (SELECT r.k, r.qid, t.dst AS node, 0.5 * r.p * t.t AS p FROM pr r JOIN pt t ON t.src = r.node WHERE r.k < 10 UNION ALL SELECT g.k, s.qid, s.node, 0.5 * s.s FROM ps s, (SELECT DISTINCT k FROM pr WHERE k < 10) g) GROUP BY 1, 2, 3)"""
 
 
@@ -364,12 +361,6 @@ def _page_rank(g, own):
 
 
 @query("ret_09_page_rank", "WITH RECURSIVE " + PPR + " SELECT qid, node AS id, round(p, 8) AS p FROM pr WHERE k = 10 AND node LIKE '%::chunk_%'")
-def _(spark, d):
-    g = Graph(spark, d)
-    return _page_rank(g, g.own.filter("qid = 0"))
-
-
-@query("ret_09_page_rank_all")
 def _(spark, d):
     """Every question."""
     g = Graph(spark, d)

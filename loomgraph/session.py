@@ -7,10 +7,14 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 #: What a session needs beyond a cluster's own settings.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -56,6 +60,12 @@ def stored(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, a table as it is read, dealt out anew where it comes in fewer partitions than there are cores (a few small files)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Sends this package's source to the executors, once a context, so that they need no copy of it of their own."""
     sc = spark.sparkContext
@@ -72,7 +82,20 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_KEPT: dict[tuple, object] = {}
+
+
+def once(spark: SparkSession, name: str, path: str, make: Callable[[], T]) -> T:
+    """What make() returns, made once a Spark application for each name and path of input: an index over written tables that later
+    queries on the same input share. clear_scratch() forgets it."""
+    key = (spark.sparkContext.applicationId, name, path)
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Deletes the tables that stored() has written; results that still read them must have been saved."""
+    _KEPT.clear()
     p = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch(spark)}/loomgraph")
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -67,11 +67,25 @@ def test_index_errors(spark, tmp_path):
         files.index(spark, str(tmp_path))
 
 
-def test_chapters():
+def test_chapters(spark):
     body = "word " * 20
-    text = "".join(f"Chapter {i}\n{body}\n" for i in range(1, 4))
-    assert [t for t, _ in S.chapterize(text)] == ["Chapter 1", "Chapter 2", "Chapter 3"]
-    assert len(S.chapterize("\n\n".join(["p" * 150] * 30))) == 3
+    books = [
+        (1, "Front\n" + "".join(f"Chapter {i}: Title {i}.\n{body}\n" for i in (1, 2, 3)) + "CHAPTER 4\nshort\n"),
+        (2, "\n".join(f"CHAPTER {r}\n\n{body}" for r in ("I", "IV", "IX"))),
+        (3, "\n".join(f"第{n}章 名{n}\n{'字' * 60}" for n in ("一千零一", "二", "3"))),
+        (4, "\n".join(f"{n}. Heading {n}\n{body}" for n in (1, 2, 3, 4))),
+        (5, "Chapter 1\nx\nChapter 2\ny\nChapter 3\nz\n\n" + "p" * 150),  # too short for chapters
+        (6, "\n\n".join(["p" * 150] * 30)), (7, None), (8, ""),
+    ]
+    got = {}
+    for r in S.chapters(spark.createDataFrame(books, "id long, text string"), "id").collect():
+        got.setdefault(r["id"], []).append((r["chapter"], r["title"], r["body"]))
+    assert [t for _, t, _ in got[1]] == ["Title 1", "Title 2", "Title 3"] and all(b.startswith("Chapter") for _, _, b in got[1])
+    assert len(got[2]) == 3 and got[2][1][1].startswith("word") and [t for _, t, _ in got[3]] == ["名一千零一", "名二", "名3"]
+    assert [t for _, t, _ in got[4]] == [f"Heading {n}" for n in (1, 2, 3, 4)]
+    assert len(got[5]) == 1 and got[5][0][2] == "p" * 150
+    assert [(t, len(b)) for _, t, b in got[6]] == [("段 1", 14 * 152 - 2), ("段 2", 14 * 152 - 2), ("段 3", 2 * 152 - 2)]
+    assert not {7, 8} & set(got)
 
 
 def test_citations(spark):
@@ -79,6 +93,20 @@ def test_citations(spark):
     assert df.select(T.chapters("t").alias("c")).first()["c"] == [3, 5, 10, 12, 34, 60]
 
 
+def test_names(spark):
+    """Every name is a run of capitalized words of a sentence with single connectors between, and no longer run holds it."""
+    texts = [
+        "Then Sherlock Holmes's friend met King of the Hill and Anna de la Cruz. I’ll go. The IV Legion; NASA, Ox and UN.",
+        "Chapter One Two Three Four Five Six. Gutenberg. Monday. don’t Don’t it’s Vincent van Gogh’s.", None, "", "\n\n",
+    ]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "chunk_id string, text string")
+    got = {}
+    for r in S.cap_spans(df).collect():
+        got.setdefault(r["chunk_id"], []).append(r["surface"])
+    assert sorted(got["0"]) == sorted(["Then Sherlock Holmes", "King", "Hill and Anna", "Cruz", "IV Legion", "NASA Ox and UN"])
+    assert sorted(got["1"]) == sorted(["Chapter One Two Three", "Four Five Six", "Vincent van Gogh"]) and set(got) == {"0", "1"}
+
+
 def test_cap_spans(spark):
     text = "The quick man met Anna of Green Gables. Then the man saw Anna's house. the then the then. We saw McKay."
     got = {r["surface"] for r in S.cap_spans(spark.createDataFrame([("c", text)], "chunk_id string, text string")).collect()}
