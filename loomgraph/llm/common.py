@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.session import scratch_path, ship, stored  # noqa: F401 - the operators take them from here
+from loomgraph.session import scratch_path, ship, spread, stored  # noqa: F401 - the operators take them from here
 
 #: UTF-8 bytes that one numpy step handles at a time (a longer text is still one whole step).
 BLOCK_BYTES = 1 << 20
@@ -37,12 +37,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df, a table as it is read, dealt out anew where it comes in fewer partitions than there are cores (a few small files)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def utf8(arr: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, bytes) of a string array, nulls as empty texts; offsets start at 0."""
     if isinstance(arr, pa.ChunkedArray):
