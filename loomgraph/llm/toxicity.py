@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -53,20 +53,22 @@ def _chars(text: str) -> np.ndarray:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(toxic, text) -> (gram, toxic texts, other texts), added up within each batch."""
+    """(toxic, text) -> (gram, toxic texts, other texts), added up within blocks of texts of a bounded size."""
     for batch in batches:
-        label = np.asarray(batch.column(0).to_pylist(), np.int64)
-        grams, sides = [], []
-        for y, t in zip(label, texts(batch.column(1))):
-            g = np.unique(np.concatenate(list(gram_hashes(_chars(plain(t))))))
-            grams.append(g)
-            sides.append(np.full(len(g), y, np.int64))
-        if not grams:
-            continue
-        g, where = np.unique(np.concatenate(grams), return_inverse=True)
-        toxic = np.bincount(where, weights=np.concatenate(sides), minlength=len(g)).astype(np.int64)
-        every = np.bincount(where, minlength=len(g))
-        yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(toxic), pa.array(every - toxic)], names=["gram", "p", "q"])
+        at = 0
+        for part in blocks(batch.column(1)):
+            label = np.asarray(batch.column(0).slice(at, len(part)).to_pylist(), np.int64)
+            at += len(part)
+            own = [np.unique(np.concatenate(list(gram_hashes(_chars(plain(t)))))) for t in texts(part)]
+            toxic = np.concatenate([np.zeros(0, np.uint64), *(g for g, y in zip(own, label) if y)])
+            other = np.concatenate([np.zeros(0, np.uint64), *(g for g, y in zip(own, label) if not y)])
+            own = None
+            p, n = np.unique(toxic, return_counts=True)
+            q, m = np.unique(other, return_counts=True)
+            g = np.union1d(p, q)
+            np_, nq = np.zeros(len(g), np.int64), np.zeros(len(g), np.int64)
+            np_[np.searchsorted(g, p)], nq[np.searchsorted(g, q)] = n, m
+            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(np_), pa.array(nq)], names=["gram", "p", "q"])
 
 
 @dataclass
@@ -126,14 +128,18 @@ def fit(doc: np.ndarray, gram: np.ndarray, label: np.ndarray, ratios: np.ndarray
     return w, b
 
 
-def ratios(counts: DataFrame, toxic: int, other: int, least_gain: float = LEAST_GAIN) -> DataFrame:
-    """(gram, r, gain) of n-grams (gram, p toxic texts, q other texts) that tell the classes apart; toxic, other: labelled texts."""
-    sums = counts.agg(F.sum(F.col("p") + 1).alias("sp"), F.sum(F.col("q") + 1).alias("sq"))
-    both = counts.crossJoin(F.broadcast(sums))  # one row
-    r = F.log((F.col("p") + 1) / F.col("sp")) - F.log((F.col("q") + 1) / F.col("sq"))
+def ratios(counts: DataFrame, toxic: int, other: int, least_gain: float = LEAST_GAIN) -> tuple[np.ndarray, np.ndarray]:
+    """(n-grams, their log-count ratios) of those (gram, p toxic texts, q other texts) that tell the classes apart, by n-gram;
+    toxic, other: labelled texts. The sums are over all n-grams and come with the same pass."""
+    sums = Observation()
     pooled = (F.col("p") + F.col("q") + 1) / F.lit(toxic + other + 2.0)
     gain = F.abs((F.col("p") + 0.5) / F.lit(toxic + 1.0) - (F.col("q") + 0.5) / F.lit(other + 1.0)) / F.sqrt(pooled * (1 - pooled) * F.lit(1.0 / toxic + 1.0 / other))
-    return both.select("gram", r.alias("r"), gain.alias("gain")).filter(F.col("gain") >= least_gain)
+    rows = counts.observe(sums, F.sum(F.col("p") + 1).alias("p"), F.sum(F.col("q") + 1).alias("q")).filter(gain >= least_gain).select("gram", "p", "q").collect()
+    gram = np.array([r["gram"] for r in rows], np.int64).view(np.uint64)
+    p, q = (np.array([r[c] for r in rows], np.float64) for c in "pq")
+    r = np.log((p + 1) / (sums.get["p"] or 1)) - np.log((q + 1) / (sums.get["q"] or 1))
+    order = np.argsort(gram)
+    return gram[order], r[order]
 
 
 def learn(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, least_gain: float = LEAST_GAIN) -> Model | None:
@@ -146,11 +152,8 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, least_
     totals = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not totals.get(0) or not totals.get(1):
         return None
-    counts = stored(rows.mapInArrow(_counts, "gram long, p long, q long").groupBy("gram").agg(F.sum("p").alias("p"), F.sum("q").alias("q")), "gramcounts")
-    top = ratios(counts, totals[1], totals[0], least_gain).select("gram", "r").toArrow()
-    h = top.column("gram").to_numpy().view(np.uint64)
-    order = np.argsort(h)
-    grams = Grams(h[order], top.column("r").to_numpy()[order])
+    counts = rows.mapInArrow(_counts, "gram long, p long, q long").groupBy("gram").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    grams = Grams(*ratios(counts, totals[1], totals[0], least_gain))
     held = docs.sparkSession.sparkContext.broadcast(grams)
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
