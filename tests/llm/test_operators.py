@@ -249,6 +249,44 @@ def test_classifier_odd(spark, odd, op, column):
     assert all(r["held_out"] == (zlib.crc32(("" if r["doc_id"] is None else str(r["doc_id"])).encode()) % 5 == 0) for r in rows)
 
 
+def test_ratios_brute(spark):
+    """Log-count ratios over all n-grams of small texts, and the texts' n-grams, from dictionaries of strings."""
+    rows = [(1, "you idiot"), (1, "idiot!"), (1, "such an idiot"), (0, "a fine day"), (0, "you are fine"), (0, ""), (0, None), (0, "day by day")]
+    sets = [(y, {t[i : i + n] for t in [f" {(t or '').lower()} "] for n in toxicity.SIZES for i in range(len(t) - n + 1)}) for y, t in rows]
+    every = set().union(*(g for _, g in sets))
+    p, q = ({g: sum(g in own for y, own in sets if y == side) for g in every} for side in (1, 0))
+    sp, sq = sum(p.values()) + len(every), sum(q.values()) + len(every)
+    df = spark.createDataFrame(rows, "toxic long, text string")
+    counts = df.repartition(3).mapInArrow(toxicity._counts, "gram long, p long, q long").groupBy("gram").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    grams, got = toxicity.ratios(counts, 3, 5, 0.0)
+    hashes = {g: int(h[0]) for g in every for h in [[x for x in toxicity.gram_hashes(toxicity._chars(g)) if len(x)][-1]]}
+    assert dict(zip(grams.tolist(), got.tolist())) == pytest.approx({hashes[g]: np.log((p[g] + 1) / sp) - np.log((q[g] + 1) / sq) for g in every})
+    few, _ = toxicity.ratios(counts, 3, 5, 2.0)
+    assert hashes["idiot"] in few.tolist() and hashes["day"] not in few.tolist() and len(few) < len(grams)
+
+
+def test_risk_and_prior_brute():
+    """The fit ends at a lower non-negative risk than it starts from, as a direct evaluation says; the prior is the least ratio of shares."""
+    rng = np.random.default_rng(1)
+    n = quality.N_FEATURES
+    pos, un = rng.normal(1, 1, (200, n)), np.concatenate([rng.normal(1, 1, (150, n)), rng.normal(-1, 1, (150, n))])
+    risk = lambda m: 0.5 * np.log1p(np.exp(-m.margin(pos))).mean() + max(0.0, np.log1p(np.exp(m.margin(un))).mean() - 0.5 * np.log1p(np.exp(m.margin(pos))).mean())
+    start, end = quality.fit(pos, un, 0.5, steps=0), quality.fit(pos, un, 0.5)
+    assert risk(end) < 0.2 < risk(start)
+    a, b = rng.normal(2, 1, 4000), np.concatenate([rng.normal(2, 1, 1200), rng.normal(-2, 1, 2800)])
+    slack = np.sqrt(np.log(40) / 2) * (1 / np.sqrt(4000) + 1 / np.sqrt(4000))
+    cuts = np.unique(np.quantile(a, np.linspace(0.0, 0.95, 96)))
+    best = min(((sum(b >= c) / 4000 + slack) / (sum(a >= c) / 4000), sum(b >= c) / sum(a >= c)) for c in cuts)[1]
+    assert quality.best_bin_prior(a, b) == pytest.approx(best) and 0.25 < best < 0.4
+
+
+def test_scores_at_the_threshold(spark):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    df = spark.createDataFrame([(1, "x"), (2, None)], "doc_id long, text string")
+    assert quality.keep_good(df, labels, 0.5).count() == 2 and quality.keep_good(df, labels, 0.51).count() == 0
+    assert {r["predicted"] for r in quality.report(df, labels, 0.5).collect()} == {1} and {r["predicted"] for r in toxicity.report(df, labels, 0.0).collect()} == {1}
+
+
 def test_non_negative_risk_finds_negatives():
     rng = np.random.default_rng(0)
     pos = rng.normal(1, 1, (600, quality.N_FEATURES))
