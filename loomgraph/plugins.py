@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -79,6 +80,55 @@ def keywords_standin(tokens: DataFrame, n: int = 8) -> DataFrame:
     return top.select(key, F.col("word").alias("kw"), (F.col("tf") / F.max("tf").over(Window.partitionBy(key))).alias("w"))
 
 
+def echo() -> Model:
+    """Stand-in judge that replies what it is asked."""
+    return Model(lambda: list, "string", pa.string())
+
+
+def counted_keywords(n: int = 8) -> Model:
+    """Stand-in keyword model: a text's n most frequent content words, weighted by their share of the most frequent one's count."""
+    from loomgraph.functions.text import STOP
+
+    def run(texts: list[str]) -> list:
+        out = []
+        for t in texts:
+            counts = Counter(w for w in re.findall(r"[a-z]+", t.lower()) if len(w) >= 4 and w not in STOP)
+            best = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:n]
+            out.append([{"kw": w, "w": c / best[0][1]} for w, c in best])
+        return out
+
+    return Model(lambda: run, "array<struct<kw: string, w: double>>", pa.list_(pa.struct([("kw", pa.string()), ("w", pa.float64())])))
+
+
+def shared_words() -> Model:
+    """Stand-in cross-encoder over question and text, parted by U+001F: the share of the question's distinct words that the text has."""
+
+    def run(pairs: list[str]) -> list:
+        out = []
+        for p in pairs:
+            question, _, text = p.lower().partition("\x1f")
+            asked = set(re.findall(r"[a-z]+", question))
+            out.append(len(asked & set(re.findall(r"[a-z]+", text))) / max(len(asked), 1))
+        return out
+
+    return Model(lambda: run, "double", pa.float64())
+
+
+def word_recogniser() -> Model:
+    """Stand-in recogniser over question and fact, parted by U+001F: YES if the question has a word of the fact, NO if not, no reply (null)
+    to an empty question."""
+
+    def run(pairs: list[str]) -> list:
+        out = []
+        for p in pairs:
+            question, _, fact = p.lower().partition("\x1f")
+            asked = set(re.findall(r"[a-z]+", question))
+            out.append(("YES" if asked & set(re.findall(r"[a-z]+", fact)) else "NO") if asked else None)
+        return out
+
+    return Model(lambda: run, "string", pa.string())
+
+
 def judged(rows: DataFrame, model: Model | None = None, prompt: str = "prompt") -> DataFrame:
     """rows with reply and verdict (YES: true, NO: false, else null) of a judge; without a model both are null."""
     reply = model.column(prompt) if model else F.lit(None).cast("string")
