@@ -114,7 +114,8 @@ def test_factors_recover_a_tensor():
     rng = np.random.default_rng(0)
     f = [rng.random((n, 2)) for n in (8, 3, 8)]
     x = np.einsum("ir,jr,kr->ijk", *f)
-    _, error = N.cp_factors(x, 2, ridge=1e-6, sweeps=400)
+    at = np.argwhere(np.ones(x.shape, bool))
+    _, error = N.cp_factors((at, x.ravel()), x.shape, 2, ridge=1e-6, sweeps=400)
     assert error < 1e-3 * (x**2).sum()
 
 
