@@ -1,12 +1,16 @@
 """A quality classifier by positive-unlabelled learning.
 
-Trusted positives are texts that `labels.quality` marks 1; the unlabelled side is a draw of the web text itself, whose
+Trusted positives are texts that `labels.quality` marks 1; the unlabelled side is all web text outside the held-out fold, whose
 labels are not read. The share of good text in it (the class prior) is estimated by the best-bin rule: among thresholds of a
 first classifier of positives against unlabelled text, the least ratio of the unlabelled and positive shares above it, each
 taken at its confidence bound. The classifier then minimises the non-negative unbiased risk
     prior E_p[l(f)] + max(0, E_u[l(-f)] - prior E_p[l(-f)]),
 so it never gains by driving the estimated risk of negatives below zero. Features are of the whole text: how its classes
 of characters follow each other, and how its words and lines repeat.
+
+The prior's shares are counted over all unlabelled texts. The risk of the unlabelled side is taken over a draw of them, by which
+gradient steps are affordable; Newton steps of the output layer on all of them were tried and gave a worse classifier, since the
+exact minimum at a prior a little too high moves all margins of bad text up to the bound of the risk.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql.functions import arrow_udf
 from .common import blocks, bounded, col, every, free, held_out, spread, utf8
 from .decontam import words_of
 
-#: Rows at most that training reads: trusted positives, unlabelled texts.
+#: Rows at most that gradient steps take: trusted positives, unlabelled texts. The prior counts all of these.
 MOST_POSITIVE, MOST_UNLABELLED = 10_000, 20_000
 THRESHOLD = 0.3
 
@@ -144,28 +148,55 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, hidde
     return Model(mean, scale, theta[0], theta[1], theta[2], float(theta[3]), 0.5 if prior is None else prior)
 
 
-def best_bin_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1) -> float:
-    """The class prior from scores of held-back positives and unlabelled texts."""
-    cuts = np.unique(np.quantile(positive, np.linspace(0.0, 0.95, 96)))
-    p = np.array([(positive >= c).mean() for c in cuts])
-    u = np.array([(unlabelled >= c).mean() for c in cuts])
-    slack = np.sqrt(np.log(4 / delta) / 2) * (1 / np.sqrt(len(positive)) + 1 / np.sqrt(len(unlabelled)))
+def best_bin_cuts(positive: np.ndarray) -> np.ndarray:
+    return np.unique(np.quantile(positive, np.linspace(0.0, 0.95, 96)))
+
+
+def best_bin(p: np.ndarray, n_p: int, u: np.ndarray, n_u: int, delta: float = 0.1) -> float:
+    """The class prior from the shares of n_p held-back positives and of n_u unlabelled texts at or above each cut."""
+    slack = np.sqrt(np.log(4 / delta) / 2) * (1 / np.sqrt(n_p) + 1 / np.sqrt(n_u))
     best = int(np.argmin((u + slack) / np.maximum(p, 1e-9)))
     return float(np.clip(u[best] / p[best], 0.01, 0.99))
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
-    """Estimates the prior on one half with a classifier of the other, then minimises the risk on all rows."""
+def best_bin_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The class prior from scores of held-back positives and unlabelled texts."""
+    cuts = best_bin_cuts(positive)
+    above = lambda x: np.array([(x >= c).mean() for c in cuts])
+    return best_bin(above(positive), len(positive), above(unlabelled), len(unlabelled))
+
+
+def first_fit(positive: np.ndarray, unlabelled: np.ndarray) -> tuple[Model, np.ndarray]:
+    """A plain classifier of one half of the rows, and its margins of the other half of the positives."""
     first = fit(positive[::2], unlabelled[::2], None, steps=200)
-    prior = best_bin_prior(first.margin(positive[1::2]), first.margin(unlabelled[1::2]))
-    return fit(positive, unlabelled, prior)
+    return first, first.margin(positive[1::2] if len(positive) > 1 else positive)
+
+
+def with_margin(docs: DataFrame, model: Model, of, out: str, text_col: str = "text") -> DataFrame:
+    """docs with `out`: of(model, features) of each whole text (null: empty), a double."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def read(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in column:
+            yield pa.array(np.concatenate([np.zeros(0), *(of(held.value, features(*utf8(b)).astype(np.float64)) for b in blocks(batch))]))
+
+    return docs.withColumn(out, arrow_udf(read, "double")(col(text_col)))
+
+
+def whole_prior(docs: DataFrame, first: Model, held: np.ndarray) -> float:
+    """The class prior from the margins `held` of held-back positives and those of all texts of docs, counted in one pass."""
+    cuts = best_bin_cuts(held)
+    rows = with_margin(docs.select("text"), first, Model.margin, "m")
+    n, *above = rows.select("m").agg(F.count("*"), *[F.count_if(F.col("m") >= float(c)) for c in cuts]).first()
+    return best_bin(np.array([(held >= c).mean() for c in cuts]), len(held), np.array(above) / n, n)
 
 
 def learn(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> Model | None:
     """The model from rows outside the held-out fold; None if there is nothing to learn from.
 
     Ids come first (id columns only are read and the bounded sets of ids broadcast), then the texts of these rows are
-    read for their features. Where labels for one id differ, each counts.
+    read for their features, then all texts outside the fold for the prior. Where labels for one id differ, each counts; so
+    does each of repeated rows.
     """
     fold = ~held_out(F.col("doc_id"))
     good = bounded(labels.filter(fold & (F.col("quality") == 1)).select("doc_id").distinct(), most_positive)
@@ -180,20 +211,16 @@ def learn(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
     side = got.column("u").to_numpy()
     if not (side == 0).any() or not (side == 1).any():
         return None
-    return train(x[side == 0], x[side == 1])
+    first, held = first_fit(x[side == 0], x[side == 1])
+    prior = whole_prior(spread(docs.filter(fold & F.col("doc_id").isNotNull()).select("text")), first, held)
+    return fit(x[side == 0], x[side == 1], prior)
 
 
 def with_score(docs: DataFrame, model: Model | None, text_col: str = "text", out: str = "score") -> DataFrame:
     """docs with `out`, from 0 to 1, of each whole text (null: empty); 0.5 without a model."""
     if model is None:
         return docs.withColumn(out, F.lit(0.5))
-    held = docs.sparkSession.sparkContext.broadcast(model)
-
-    def scored(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in column:
-            yield pa.array(np.concatenate([np.zeros(0), *(held.value.score(features(*utf8(b)).astype(np.float64)) for b in blocks(batch))]))
-
-    return docs.withColumn(out, arrow_udf(scored, "double")(col(text_col)))
+    return with_margin(docs, model, Model.score, out, text_col)
 
 
 def report(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tests_common import DATA, same
 from loomgraph.llm import chat, decontam, html, media, mixing, neardup, quality, queries, secrets, simhash, toxicity, warc
+from loomgraph.llm.common import utf8
 
 DOCS = "doc_id long, text string, source string"
 
@@ -280,6 +281,18 @@ def test_risk_and_prior_brute():
     assert quality.best_bin_prior(a, b) == pytest.approx(best) and 0.25 < best < 0.4
 
 
+def test_whole_prior_brute(spark):
+    """The prior counted over a table is that of the margins of all its texts in one array; a cap on the draw leaves it so."""
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("abc de.\n" if i % 3 else "|<>{} 0123")) for _ in range(int(rng.integers(0, 120)))) for i in range(900)]
+    x = quality.features(*utf8(pa.array(texts))).astype(np.float64)
+    good = np.array([i for i in range(900) if i % 3 and i % 2])
+    for draw in (x[::4], x[::40]):
+        first, held = quality.first_fit(x[good], draw)
+        got = quality.whole_prior(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5), first, held)
+        assert got == pytest.approx(quality.best_bin_prior(held, first.margin(x))) and 0.5 < got < 0.8
+
+
 def test_scores_at_the_threshold(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     df = spark.createDataFrame([(1, "x"), (2, None)], "doc_id long, text string")
@@ -291,15 +304,14 @@ def test_non_negative_risk_finds_negatives():
     rng = np.random.default_rng(0)
     pos = rng.normal(1, 1, (600, quality.N_FEATURES))
     un = np.concatenate([rng.normal(1, 1, (700, quality.N_FEATURES)), rng.normal(-1, 1, (300, quality.N_FEATURES))])
-    m = quality.train(pos, un)
+    first, held = quality.first_fit(pos, un)
+    m = quality.fit(pos, un, quality.best_bin_prior(held, first.margin(un[1::2])))
     s = m.score(un)
     assert 0.6 < m.prior < 0.85 and (s[:700] > 0.5).mean() > 0.95 and (s[700:] < 0.5).mean() > 0.95
 
 
 def test_features_ignore_neighbours():
     texts = ["Some Words here!", "", "a\nb\na\nb", "é é é"]
-    from loomgraph.llm.common import utf8
-
     whole = quality.features(*utf8(pa.array(texts)))
     each = np.concatenate([quality.features(*utf8(pa.array([t]))) for t in texts])
     assert np.allclose(whole, each)
