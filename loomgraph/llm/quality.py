@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -109,8 +110,7 @@ class Model:
     prior: float = 0.5
 
     def margin(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -8, 8)
-        return np.tanh(z @ self.w1 + self.b1) @ self.w2 + self.b2
+        return np.tanh(standard(x, self.mean, self.scale) @ self.w1 + self.b1) @ self.w2 + self.b2
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-np.clip(self.margin(x), -30, 30)))
@@ -120,11 +120,27 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
+def moments(positive: np.ndarray, unlabelled: np.ndarray, columns: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and scale of each feature over both sides; some columns at a time, so no copy of all of them is made."""
+    mean, scale = np.zeros(positive.shape[1]), np.zeros(positive.shape[1])
+    for at in range(0, len(mean), columns):
+        part = slice(at, at + columns)
+        both = np.concatenate([positive[:, part], unlabelled[:, part]]).astype(np.float64)
+        mean[part], scale[part] = both.mean(0), np.maximum(both.std(0), 1e-3)
+    return mean, scale
+
+
+def standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """x by mean and scale, within 8 of 0, in one array of doubles."""
+    z = np.subtract(x, mean, dtype=np.float64)
+    z /= scale
+    return np.clip(z, -8, 8, out=z)
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, hidden: int = 16, steps: int = 400, rate: float = 0.01, decay: float = 1e-4, seed: int = 0) -> Model:
     """Minimises the non-negative risk at `prior`; with prior None, the plain risk of positives against unlabelled."""
-    both = np.concatenate([positive, unlabelled]).astype(np.float64)
-    mean, scale = both.mean(0), np.maximum(both.std(0), 1e-3)
-    x, u = (np.clip((a - mean) / scale, -8, 8) for a in (positive, unlabelled))
+    mean, scale = moments(positive, unlabelled)
+    x, u = (standard(a, mean, scale) for a in (positive, unlabelled))
     rng = np.random.default_rng(seed)
     theta = [rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], hidden)), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), hidden), np.zeros(())]
     m, v = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
@@ -206,14 +222,17 @@ def learn(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
     got = rows.toArrow()
     if not got.num_rows:
         return None
-    got = got.sort_by([("h", "ascending"), ("u", "ascending")])
-    x = got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, N_FEATURES)
-    side = got.column("u").to_numpy()
+    order = pc.sort_indices(got.select(["h", "u"]), [("h", "ascending"), ("u", "ascending")]).to_numpy()
+    side = got.column("u").to_numpy()[order]
     if not (side == 0).any() or not (side == 1).any():
         return None
-    first, held = first_fit(x[side == 0], x[side == 1])
+    x = got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, N_FEATURES)
+    del got
+    positive, unlabelled = x[order[side == 0]], x[order[side == 1]]
+    del x
+    first, held = first_fit(positive, unlabelled)
     prior = whole_prior(spread(docs.filter(fold & F.col("doc_id").isNotNull()).select("text")), first, held)
-    return fit(x[side == 0], x[side == 1], prior)
+    return fit(positive, unlabelled, prior)
 
 
 def with_score(docs: DataFrame, model: Model | None, text_col: str = "text", out: str = "score") -> DataFrame:

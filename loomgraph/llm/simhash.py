@@ -10,7 +10,7 @@
    adding up differing bits, and leaves a whole group once the sum passes the limit or once all of it is known to be
    in the searcher's own component.
 4. Components. Tasks send spanning edges, at most one per fingerprint and key; the edges are contracted by rounds of
-   joins (each node goes to its least neighbour in a random order) until none is left.
+   joins (each node goes to its least neighbour in a random order) until few are left, which the driver unites.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ BLOCKS = 5
 FAN, FRONTIER = 8, 1 << 20
 #: Fingerprints under one key beyond which its rows are split into chunks.
 MOST = 4096
+#: Edges that the driver unites by itself (1 MB of ids): a round of joins takes it more memory, for its jobs and tasks.
+FEW = 1 << 16
 
 
 def shingle_hashes(text: bytes, words: int, seed: int = SEED) -> np.ndarray:
@@ -253,16 +255,28 @@ def links(prints: DataFrame, bits: int = BITS, blocks: int = BLOCKS, most: int =
     return rows.repartition("tab", "key", "pair").sortWithinPartitions("tab", "key", "pair").mapInArrow(lambda b: _chains(b, bits), "a long, b long")
 
 
-def components(edges: DataFrame, label: str = "edges") -> DataFrame:
+def _united(edges: DataFrame) -> DataFrame:
+    """(node, to) of every node of edges (a, b), which the driver holds: the least node of its component."""
+    got = edges.select("a", "b").toArrow()
+    nodes, at = np.unique(np.concatenate([got.column("a").to_numpy(), got.column("b").to_numpy()]), return_inverse=True)
+    label = _union(np.arange(len(nodes)), *at.reshape(2, -1))
+    return edges.sparkSession.createDataFrame(pa.table({"node": nodes, "to": nodes[label]}), "node long, to long")
+
+
+def components(edges: DataFrame, label: str = "edges", few: int = FEW) -> DataFrame:
     """(node, root) of every node of edges (a, b): one root for each connected component.
 
     Each round sends a node to its least neighbour in a random order (or leaves it, if it is the least itself), renames the
-    edges by that and drops loops and repeats, so the count of nodes falls by a constant factor on average.
+    edges by that and drops loops and repeats, so the count of nodes falls by a constant factor on average. Once at most `few`
+    edges are left, the driver takes them and ends it, in place of as many rounds again.
     """
     e = stored(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), label)
     moves, turn = [], 0
-    while not e.isEmpty():
+    while left := e.count():
         turn += 1
+        if left <= few:
+            moves.append(stored(_united(e), f"move{turn}"))
+            break
         both = e.select("a", "b").union(e.select("b", "a"))
         near = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", F.lit(turn)).alias("h"), F.col("b").alias("x"))).alias("m"))
         own = F.struct(F.xxhash64("a", F.lit(turn)).alias("h"), F.col("a").alias("x"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -281,6 +282,19 @@ def test_risk_and_prior_brute():
     assert quality.best_bin_prior(a, b) == pytest.approx(best) and 0.25 < best < 0.4
 
 
+def test_fit_in_little_memory():
+    """The fit holds its rows as doubles once, and what a step takes; their mean and scale are those of one array."""
+    rng = np.random.default_rng(2)
+    pos, un = (rng.normal(1, 2, (k, quality.N_FEATURES)).astype(np.float32) for k in (1500, 4000))
+    both = np.concatenate([pos, un]).astype(np.float64)
+    tracemalloc.start()
+    m = quality.fit(pos, un, 0.5, steps=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * both.nbytes
+    assert (m.mean == both.mean(0)).all() and (m.scale == np.maximum(both.std(0), 1e-3)).all()
+
+
 def test_whole_prior_brute(spark):
     """The prior counted over a table is that of the margins of all its texts in one array; a cap on the draw leaves it so."""
     rng = np.random.default_rng(4)
@@ -455,6 +469,22 @@ def test_components_brute(spark, most):
     assert got == brute_components(dict(rows))
 
 
+@pytest.mark.parametrize("few", [0, 20, simhash.FEW])
+def test_components_of_long_paths(spark, few):
+    """Paths in a random order of nodes, a star and loops; what is few goes through the driver, and no joins of rounds are left then."""
+    rng = np.random.default_rng(3)
+    ids = rng.permutation(1000) - 500
+    paths = [ids[at : at + n] for at, n in ((0, 300), (300, 2), (302, 90))]
+    edges = [(int(a), int(b)) for p in paths for a, b in zip(p, p[1:])] + [(int(ids[400]), int(x)) for x in ids[401:450]] + [(int(x), int(x)) for x in ids[390:400]]
+    out = simhash.components(spark.createDataFrame(edges, "a long, b long"), few=few)
+    own: dict = {}
+    for r in out.collect():
+        own.setdefault(r["root"], set()).add(r["node"])
+    assert sorted(map(sorted, own.values())) == sorted(sorted(map(int, p)) for p in (*paths, ids[400:450])) and all(r in v for r, v in own.items())
+    assert ("Join" in out._jdf.queryExecution().optimizedPlan().toString()) == (few < simhash.FEW)
+    assert simhash.components(spark.createDataFrame([(1, 1)], "a long, b long"), few=few).count() == 0
+
+
 def test_fingerprint_brute(spark, odd):
     def brute(t):
         w = (t or "").encode().lower().split()
