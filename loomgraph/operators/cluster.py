@@ -1,20 +1,28 @@
 """Clustering: density clusters, greedy proximity, residual and whitening transforms, trees, communities, agreement.
 
-Density clusters, greedy proximity and tree nodes are of bounded sets by definition (a cluster's members, a sample): they run as
-one NumPy task a set, whose size `most` bounds; a larger set is refused, never cut.
+Sets of any size: density clusters and trees meet a set's blocks in pairs, each pair a task; greedy proximity, an order by
+definition, is one task that holds its centres; transforms are moments of each set, applied a part at a time. Functions of a matrix
+(`density_labels`, `greedy_labels`) are for one in memory.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.session import stored
+
 from .corpus import one_row
 
-#: Rows of one set that a dense task takes (n x n distances: 8 bytes each).
+#: Rows of one set that a task of labelled() takes (n x n distances: 8 bytes each).
 MOST = 8_000
+#: Rows of a block of a set, two of which meet in a task, and of the tiles that the task takes them in.
+BLOCK, TILE = 16_384, 2_048
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -22,6 +30,13 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
+def _distance(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Cosine distances of unit rows; copies are at 0, whatever their product's last digit."""
+    d = 1 - u @ v.T
+    d[d < 1e-12] = 0
+    return d
+
+
 def _bounded(n: int, most: int) -> None:
     if n > most:
         raise ValueError(f"a set of {n} rows is beyond the {most} that a dense task takes; split it by a key first")
@@ -34,20 +49,81 @@ def density_labels(x: np.ndarray, min_size: int = 3, min_samples: int = 2) -> np
     if n < min_size:
         return np.full(n, -1)
     u = _unit(x)
-    d = np.maximum(1 - u @ u.T, 0)
+    d = _distance(u, u)
     core = np.sort(d, axis=1)[:, min(min_samples, n) - 1]
     reach = np.maximum(d, np.maximum(core[:, None], core[None, :]))
-    # Prim's tree over mutual reachability.
+    return tree_labels(n, *_prim(reach), min_size)
+
+
+def _prim(reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The minimum spanning tree (a, b, w) of a whole matrix of distances."""
+    n = len(reach)
     best, parent, done = reach[0].copy(), np.zeros(n, int), np.zeros(n, bool)
     done[0] = True
-    edges = []
-    for _ in range(n - 1):
-        j = int(np.argmin(np.where(done, np.inf, best)))
-        edges.append((best[j], int(parent[j]), j))
-        done[j] = True
+    best[0] = np.inf
+    a, b, w = np.zeros(n - 1, int), np.zeros(n - 1, int), np.zeros(n - 1)
+    for k in range(n - 1):
+        j = int(np.argmin(best))
+        a[k], b[k], w[k] = parent[j], j, best[j]
+        done[j], best[j] = True, np.inf
         closer = ~done & (reach[j] < best)
         best[closer], parent[closer] = reach[j][closer], j
-    edges.sort()
+    return a, b, w
+
+
+def _across(reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The minimum spanning tree (row, column, w) of the distances between two sets."""
+    sides = (np.ascontiguousarray(reach), np.ascontiguousarray(reach.T))
+    n = reach.shape
+    best = [np.full(n[0], np.inf), sides[0][0].copy()]
+    parent, done = [np.zeros(n[0], int), np.zeros(n[1], int)], [np.zeros(n[0], bool), np.zeros(n[1], bool)]
+    done[0][0] = True
+    size = n[0] + n[1] - 1
+    out = (np.zeros(size, int), np.zeros(size, int)), np.zeros(size)
+    for k in range(size):
+        at = [int(best[0].argmin()), int(best[1].argmin())]
+        s = 0 if best[0][at[0]] <= best[1][at[1]] else 1
+        j, o = at[s], 1 - s
+        out[0][s][k], out[0][o][k], out[1][k] = j, parent[s][j], best[s][j]
+        done[s][j], best[s][j] = True, np.inf
+        d = sides[s][j]
+        closer = (d < best[o]) & ~done[o]
+        best[o][closer] = d[closer]
+        parent[o][closer] = j
+    return *out[0], out[1]
+
+
+def forest(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    """Which of the edges (a, b, w) among nodes under n make the minimum spanning forest; ties of w by a, then b."""
+    order = np.lexsort((b, a, w))
+    a, b = a[order], b[order]
+    root, left, chosen, none = np.arange(n), np.arange(len(a)), [np.zeros(0, int)], len(a)
+    while True:
+        ra, rb = root[a[left]], root[b[left]]
+        out = ra != rb
+        left, ra, rb = left[out], ra[out], rb[out]
+        if not len(left):
+            return order[np.concatenate(chosen)]
+        # The first edge of each component: of repeated places the last value is kept.
+        first, second = np.full(n, none), np.full(n, none)
+        first[ra[::-1]], second[rb[::-1]] = left[::-1], left[::-1]
+        first = np.minimum(first, second)
+        own = np.flatnonzero(first < none)
+        edge = first[own]
+        chosen.append(np.unique(edge))
+        ends = root[a[edge]], root[b[edge]]
+        parent = np.arange(n)
+        parent[own] = np.where(ends[0] == own, ends[1], ends[0])
+        mutual = (parent[parent] == np.arange(n)) & (np.arange(n) < parent)
+        parent[mutual] = np.flatnonzero(mutual)
+        while not np.array_equal(parent, up := parent[parent]):
+            parent = up
+        root = parent[root]
+
+
+def tree_labels(n: int, left: np.ndarray, right: np.ndarray, weight: np.ndarray, min_size: int = 3) -> np.ndarray:
+    """Labels of n rows from their minimum spanning tree: condensed tree, clusters of the highest stability, never the root alone."""
+    edges = [(w, a, b) for w, a, b in zip(*(x[np.lexsort((right, left, weight))].tolist() for x in (weight, left, right)))]
     # Single linkage: node n + k joins two nodes at a distance.
     top = list(range(2 * n - 1))
     kids: dict[int, tuple[int, int, float]] = {}
@@ -81,21 +157,24 @@ def density_labels(x: np.ndarray, min_size: int = 3, min_samples: int = 2) -> np
     while todo:
         node, c = todo.pop()
         while node >= n:
-            a, b, w = kids[node]
+            w, parts, inner = kids[node][2], [], [node]
+            while inner:
+                # Nodes that meet at one distance are one split, in whatever order they met.
+                for s in kids[inner.pop()][:2]:
+                    (inner if s >= n and kids[s][2] == w else parts).append(s)
             lam = 1 / w if w > 0 else 1e12
-            big = [s for s in (a, b) if size[s] >= min_size]
-            if len(big) == 2:
-                clusters[c]["stability"] += (lam - clusters[c]["birth"]) * (size[a] + size[b])
+            big = [s for s in parts if size[s] >= min_size]
+            for s in parts:
+                if size[s] < min_size:
+                    clusters[c]["stability"] += (lam - clusters[c]["birth"]) * size[s]
+                    clusters[c]["points"] += leaves(s)
+            if len(big) > 1:
+                clusters[c]["stability"] += (lam - clusters[c]["birth"]) * sum(size[s] for s in big)
                 for s in big:
                     clusters.append({"birth": lam, "stability": 0.0, "kids": [], "points": []})
                     clusters[c]["kids"].append(len(clusters) - 1)
                     todo.append((s, len(clusters) - 1))
-                break
-            for s in (a, b):
-                if size[s] < min_size:
-                    clusters[c]["stability"] += (lam - clusters[c]["birth"]) * size[s]
-                    clusters[c]["points"] += leaves(s)
-            if not big:
+            if len(big) != 1:
                 break
             node = big[0]
     chosen = [False] * len(clusters)
@@ -129,19 +208,167 @@ def density_labels(x: np.ndarray, min_size: int = 3, min_samples: int = 2) -> np
 
 def greedy_labels(x: np.ndarray, threshold: float = 0.82) -> np.ndarray:
     """In order, each row to the nearest centre above the threshold (whose mean then moves), or to a new one."""
-    sums, counts, label = [], [], []
-    for v in x:
-        c = _unit(np.asarray(sums) / np.asarray(counts)[:, None]) @ _unit(v[None])[0] if sums else np.zeros(0)
-        best = int(np.argmax(c)) if len(c) else -1
-        if best >= 0 and c[best] > threshold:
-            sums[best] = sums[best] + v
-            counts[best] += 1
-        else:
-            best = len(sums)
-            sums.append(v.copy())
-            counts.append(1)
-        label.append(best)
-    return np.asarray(label, int)
+    return Greedy(threshold).take(np.asarray(x, np.float64))
+
+
+class Greedy:
+    """The centres of greedy proximity; rows are taken in order, a batch at a time."""
+
+    def __init__(self, threshold: float):
+        self.threshold, self.n = threshold, 0
+
+    def take(self, x: np.ndarray) -> np.ndarray:
+        label = np.zeros(len(x), np.int64)
+        for k, (v, u) in enumerate(zip(x, _unit(x))):
+            c = self.units[: self.n] @ u if self.n else np.zeros(0)
+            best = int(np.argmax(c)) if self.n else -1
+            if best < 0 or not c[best] > self.threshold:
+                best = self.n
+                self._room(len(v))
+                self.n += 1
+            self.sums[best] += v
+            self.counts[best] += 1
+            self.units[best] = _unit((self.sums[best] / self.counts[best])[None])[0]
+            label[k] = best
+        return label
+
+    def _room(self, dims: int) -> None:
+        if not self.n:
+            self.sums, self.units, self.counts = np.zeros((64, dims)), np.zeros((64, dims)), np.zeros(64)
+        elif self.n == len(self.counts):
+            self.sums, self.units = (np.concatenate([m, np.zeros_like(m)]) for m in (self.sums, self.units))
+            self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def greedy_clusters(vectors: DataFrame, threshold: float = 0.82, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(id, cluster) of greedy_labels() over all rows in the order of their ids. Each row depends on those before it, so this is
+    one task; it reads a batch of sorted rows at a time and holds the centres alone."""
+    rows = vectors.filter(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = Greedy(threshold)
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(g.take(_matrix(b.column(1))))], names=["id", "cluster"])
+
+    return rows.repartition(1).sortWithinPartitions("id").mapInArrow(run, f"id {dict(rows.dtypes)['id']}, cluster long")
+
+
+def in_parts(rows: DataFrame, group: str, block: int = BLOCK) -> DataFrame:
+    """rows (group, id, ..) with part, one of the `parts` of about `block` rows of their group of `size`, by a hash of their ids."""
+    n = rows.groupBy(F.col(group).alias("__of")).agg(F.count("*").alias("size"), F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    return rows.join(n, F.col(group).eqNullSafe(F.col("__of"))).drop("__of").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+
+
+def meeting(parted: DataFrame, group: str, f: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """f(rows, rows) of any two parts of each group of in_parts(), each pair of parts one task; of a part with itself, f(rows, None).
+    A row is sent to as many tasks as its group has parts."""
+    other = parted.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = other.withColumn("lo", F.least("part", "__other")).withColumn("hi", F.greatest("part", "__other")).drop("__other")
+
+    def run(t: pa.Table) -> pa.Table:
+        lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+        own = np.asarray(t.column("part")) == lo
+        return f(t, None) if lo == hi else f(t.filter(pa.array(own)), t.filter(pa.array(~own)))
+
+    return rows.groupBy(group, "lo", "hi").applyInArrow(run, schema)
+
+
+def _spans(n: int, step: int) -> list[slice]:
+    return [slice(k, min(k + step, n)) for k in range(0, n, step)]
+
+
+def _lowest(best: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """The least values of each row of best and d, as many as best has."""
+    m = best.shape[1]
+    return np.minimum(best, d.min(1)[:, None]) if m == 1 else np.partition(np.concatenate([best, d], 1), m - 1, axis=1)[:, :m]
+
+
+def _cores(parted: DataFrame, group: str, kind: dict[str, str], m: int, tile: int) -> DataFrame:
+    """(group, id, core): each row's cosine distance to its m-th nearest other row of the group, or the farthest if there are fewer."""
+
+    def near(x: pa.Table, y: pa.Table | None) -> pa.Table:
+        u = _unit(_matrix(x.column("v")))
+        v = u if y is None else _unit(_matrix(y.column("v")))
+        best, theirs = np.full((len(u), m), np.inf), np.full((len(v), m), np.inf)
+        for r in _spans(len(u), tile):
+            for c in _spans(len(v), tile):
+                d = _distance(u[r], v[c])
+                if y is None and r == c:
+                    np.fill_diagonal(d, np.inf)
+                best[r] = _lowest(best[r], d)
+                if y is not None:
+                    theirs[c] = _lowest(theirs[c], d.T)
+        ids, d = (x.column("id"), best) if y is None else (pa.chunked_array([*x.column("id").chunks, *y.column("id").chunks]), np.concatenate([best, theirs]))
+        names = pa.chunked_array([*x.column(group).chunks, *([] if y is None else y.column(group).chunks)])
+        place = pa.array(np.repeat(np.arange(len(d)), m))
+        return pa.table({group: names.take(place), "id": ids.take(place), "d": pa.array(d.ravel())})
+
+    d = meeting(parted, group, near, f"{group} {kind[group]}, id {kind['id']}, d double").filter("d < double('Infinity')").groupBy(group, "id")
+    if m == 1:
+        return d.agg(F.min("d").alias("core"))
+    low = d.agg(F.sort_array(F.collect_list("d")).alias("d"))
+    return low.select(group, "id", F.get("d", F.least(F.size("d"), F.lit(m)) - 1).alias("core"))
+
+
+def _pruned(t: pa.Table, group: str) -> pa.Table:
+    """The minimum spanning forest of the edges (group, a, b, w)."""
+    a, b, w = (np.asarray(t.column(c)) for c in ("a", "b", "w"))
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    return t.take(pa.array(forest(at[: len(a)], at[len(a) :], w, len(names)))).select([group, "a", "b", "w"])
+
+
+def density_clusters(vectors: DataFrame, group: str | None = None, min_size: int = 3, min_samples: int = 2, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK, tile: int = TILE) -> DataFrame:
+    """([group,] id, cluster) of density_labels() over each group's rows (or all), however many.
+
+    Two passes over pairs of a group's blocks: distances to nearest rows, then the minimum spanning trees of mutual reachability
+    within a block and between two of them. The tree of all is among their edges: pairs of blocks are thinned out to forests together,
+    then a last task of each group orders what is left, n - 1 edges. Distances are never kept; time is quadratic.
+    """
+    own = group or "__all"
+    rows = vectors.filter(F.col(vec_col).isNotNull()).select((F.col(group) if group else F.lit(0)).alias(own), F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
+    kind = dict(rows.dtypes)
+    parted = stored(in_parts(rows, own, block), "density-rows")
+    m = min_samples - 1
+    core = stored(_cores(parted, own, kind, m, tile), "density-cores") if m else parted.select(own, "id", F.lit(0.0).alias("core"))
+    reached = parted.join(core.withColumnRenamed(own, "__of"), "id").filter(F.col(own).eqNullSafe(F.col("__of"))).drop("__of")
+
+    def trees(x: pa.Table, y: pa.Table | None) -> pa.Table:
+        sides = [(_unit(_matrix(t.column("v"))), np.asarray(t.column("core")), np.asarray(t.column("id"))) for t in (x, y) if t is not None]
+        found = []
+        for s, r in enumerate(_spans(len(x), tile)):
+            for k, c in enumerate(_spans(len(sides[-1][0]), tile)):
+                if y is None and k < s:
+                    continue
+                d = np.maximum(_distance(sides[0][0][r], sides[-1][0][c]), np.maximum(sides[0][1][r][:, None], sides[-1][1][c][None, :]))
+                a, b, w = _prim(d) if y is None and k == s else _across(d)
+                found.append((a + r.start, b + c.start, w))
+        a, b, w = (np.concatenate([f[k] for f in found]) for k in range(3))
+        n = len(x) + (0 if y is None else len(y))
+        keep = forest(a, b + (0 if y is None else len(x)), w, n)
+        return pa.table({own: x.column(own).take(pa.array(np.zeros(len(keep), int))), "lo": pa.array(np.full(len(keep), x.column("lo")[0].as_py(), np.int32)), "a": sides[0][2][a[keep]], "b": sides[-1][2][b[keep]], "w": w[keep]})
+
+    edge = f"{own} {kind[own]}, a {kind['id']}, b {kind['id']}, w double"
+    edges = meeting(reached, own, trees, edge.replace(", a", ", lo int, a", 1)).withColumn("some", F.floor(F.col("lo") / 8))
+    few = edges.groupBy(own, "some").applyInArrow(lambda t: _pruned(t, own), edge)
+
+    def label(t: pa.Table) -> pa.Table:
+        t = _pruned(t, own)
+        a, b, w = (np.asarray(t.column(c)) for c in ("a", "b", "w"))
+        ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        ends = np.sort(at.reshape(2, -1), 0)
+        found = tree_labels(len(ids), *ends, w, min_size) if len(ids) >= min_size else np.full(len(ids), -1)
+        return pa.table({own: t.column(own).take(pa.array(np.zeros(len(ids), int))), "id": ids, "cluster": found.astype(np.int64)})
+
+    got = few.groupBy(own).applyInArrow(label, f"{own} {kind[own]}, id {kind['id']}, cluster long")
+    # A row alone in its group has no edges.
+    every = got.union(parted.filter("size = 1").select(own, "id", F.lit(-1).cast("long")))
+    return every if group else every.drop(own)
 
 
 def labelled(vectors: DataFrame, f, group: str | None = None, id_col: str = "vec_id", vec_col: str = "embedding", most: int = MOST, **options) -> DataFrame:
@@ -227,8 +454,6 @@ def communities(edges: DataFrame, steps: int = 10, start: DataFrame | None = Non
 
     A node takes the label of the largest total weight around it, ties to the smallest label; its own label counts once.
     """
-    from loomgraph.session import stored
-
     w = stored(edges.groupBy("src", "dst").agg(F.max("prob").alias("w")), "community-edges")
     label = start or w.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node"))
     own = label.select("node", "label", F.lit(1e-6).alias("w"))
@@ -270,8 +495,6 @@ def kmeans_pairs(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    from loomgraph.session import stored
-
     from . import vectors as V
 
     rows = vectors.filter(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), V.norm(F.col(vec_col)).alias("n"))
