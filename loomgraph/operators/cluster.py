@@ -408,6 +408,19 @@ def whitened(x: np.ndarray, ridge: float = 1e-5, most: int = 50) -> np.ndarray:
     return c @ (v / np.sqrt(w)) @ v.T
 
 
+def _means(rows: DataFrame, group: str) -> DataFrame:
+    """(__of, mean) of rows (group, v)."""
+    per = rows.select(F.col(group).alias("__of"), F.posexplode("v").alias("dim", "x")).groupBy("__of", "dim").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    return per.groupBy("__of").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("mean"))
+
+
+def residual_vectors(vectors: DataFrame, group: str, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(group, id, vector): each row less the mean of its group."""
+    rows = vectors.filter(F.col(vec_col).isNotNull()).select(group, F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
+    both = rows.join(_means(rows, group), F.col(group).eqNullSafe(F.col("__of")))
+    return both.select(group, "id", F.zip_with("v", "mean", lambda x, y: x.cast("double") - y).alias("vector"))
+
+
 def transformed(vectors: DataFrame, f, group: str, id_col: str = "vec_id", vec_col: str = "embedding", most: int = MOST, **options) -> DataFrame:
     """(group, id, vector) of f on each group's matrix."""
     kind = dict(vectors.dtypes)
@@ -421,28 +434,17 @@ def transformed(vectors: DataFrame, f, group: str, id_col: str = "vec_id", vec_c
     return rows.groupBy(group).applyInPandas(run, f"{group} {kind[group]}, id {kind[id_col]}, vector array<double>")
 
 
-def concept_tree(vectors: DataFrame, depth: int = 3, min_size: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", most: int = MOST) -> DataFrame:
-    """(node, parent, depth, id): clusters of the rows, then of each cluster's residuals, to `depth`. One task a node and depth."""
+def concept_tree(vectors: DataFrame, depth: int = 3, min_size: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK, tile: int = TILE) -> DataFrame:
+    """(node, parent, depth, id): density clusters of the rows, then of each cluster's residuals, to `depth`."""
     base = vectors.filter(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"), F.lit("0").alias("node"))
     out = None
-    kind = dict(vectors.dtypes)[id_col]
-
-    def splitter(inner: bool):
-        def split(pdf: pd.DataFrame) -> pd.DataFrame:
-            _bounded(len(pdf), most)
-            pdf = pdf.sort_values("id")
-            x = np.stack(pdf["v"])
-            x = residuals(x) if inner else x
-            label = density_labels(x) if len(x) >= min_size else np.full(len(x), -1)
-            got = pd.DataFrame({"parent": pdf["node"].to_numpy(), "id": pdf["id"].to_numpy(), "v": list(x), "label": label})
-            got = got[got["label"] >= 0]
-            got["node"] = got["parent"] + "." + got["label"].astype(str)
-            return got[["node", "parent", "id", "v"]]
-
-        return split
-
     for k in range(depth):
-        level = base.groupBy("node").applyInPandas(splitter(k > 0), f"node string, parent string, id {kind}, v array<double>").withColumn("depth", F.lit(k))
+        if k:
+            base = residual_vectors(base, "node", "id", "v").select("id", F.col("vector").alias("v"), "node")
+        big = base.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") >= min_size).select("node")
+        base = stored(base.join(big, "node"), f"tree-rows{k}")
+        label = density_clusters(base, "node", id_col="id", vec_col="v", block=block, tile=tile).filter("cluster >= 0")
+        level = stored(base.join(label.withColumnRenamed("node", "parent"), "id").select(F.concat_ws(".", "parent", F.col("cluster").cast("string")).alias("node"), "parent", F.lit(k).alias("depth"), "id", "v"), f"tree{k}")
         rows = level.select("node", "parent", "depth", "id")
         out = rows if out is None else out.union(rows)
         base = level.select("id", "v", "node")

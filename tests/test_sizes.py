@@ -56,3 +56,18 @@ def test_greedy_clusters_in_order(crowd):
         sums[best], counts[best] = sums[best] + v, counts[best] + 1
         want.append(best)
     assert [got[r[0]] for r in rows] == want and 3 < max(want) < 100
+
+
+def test_tree_in_blocks(crowd):
+    rows, df = crowd
+    level, want = {"0": rows}, []
+    for k in range(3):
+        nxt = {}
+        for node, own in level.items():
+            x = _of(own) - (_of(own).mean(0) if k else 0)
+            for r, v, c in zip(own, x, K.density_labels(x) if len(own) >= 5 else [-1] * len(own)):
+                if c >= 0:
+                    nxt.setdefault(f"{node}.{c}", []).append((r[0], r[1], v))
+                    want.append((f"{node}.{c}", node, k, r[0]))
+        level = nxt
+    assert sorted(tuple(r) for r in K.concept_tree(df, block=40, tile=16).collect()) == sorted(want) and {w[2] for w in want} == {0, 1, 2}
