@@ -421,17 +421,38 @@ def residual_vectors(vectors: DataFrame, group: str, id_col: str = "vec_id", vec
     return both.select(group, "id", F.zip_with("v", "mean", lambda x, y: x.cast("double") - y).alias("vector"))
 
 
-def transformed(vectors: DataFrame, f, group: str, id_col: str = "vec_id", vec_col: str = "embedding", most: int = MOST, **options) -> DataFrame:
-    """(group, id, vector) of f on each group's matrix."""
+def whitened_vectors(vectors: DataFrame, group: str, ridge: float = 1e-5, most: int = 50, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """(group, id, vector) of whitened() on each group's rows, however many: parts of a group send on their sums of products, one
+    task of a group makes its matrix of them, and parts are multiplied by it."""
     kind = dict(vectors.dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        _bounded(len(pdf), most)
-        pdf = pdf.sort_values("id")
-        return pd.DataFrame({group: pdf[group], "id": pdf["id"], "vector": list(f(np.stack(pdf["v"]).astype(np.float64), **options))})
-
-    rows = vectors.filter(F.col(vec_col).isNotNull()).select(group, F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
-    return rows.groupBy(group).applyInPandas(run, f"{group} {kind[group]}, id {kind[id_col]}, vector array<double>")
+    rows = stored(in_parts(residual_vectors(vectors, group, id_col, vec_col), group, block), "whitening-rows")
+
+    def products(t: pa.Table) -> pa.Table:
+        c = _matrix(t.column("vector"))
+        return pa.table({group: t.column(group).slice(0, 1), "n": pa.array([len(c)]), "dims": pa.array([c.shape[1]]), "gram": pa.array([(c.T @ c).tobytes()], pa.binary())})
+
+    def matrix(t: pa.Table) -> pa.Table:
+        d, n = t.column("dims")[0].as_py(), int(np.asarray(t.column("n")).sum())
+        gram = sum(np.frombuffer(g.as_py()).reshape(d, d) for g in t.column("gram"))
+        keep = np.argsort(-np.diag(gram), kind="stable")[:most]
+        w, v = np.linalg.eigh(gram[np.ix_(keep, keep)] / max(n - 1, 1) + ridge * np.eye(len(keep)))
+        full = np.zeros((d, len(keep)))
+        full[keep] = (v / np.sqrt(w)) @ v.T
+        return pa.table({group: t.column(group).slice(0, 1), "m": pa.array([full.tobytes()], pa.binary())})
+
+    own = f"{group} {kind[group]}"
+    grams = rows.groupBy(group, "part").applyInArrow(products, f"{own}, n long, dims long, gram binary")
+    models = grams.groupBy(group).applyInArrow(matrix, f"{own}, m binary").withColumnRenamed(group, "__of")
+    parts = rows.select(F.col(group).alias("__group"), F.col("part").alias("__part")).distinct()
+    models = parts.join(models, F.col("__group").eqNullSafe(F.col("__of"))).select("__group", "__part", "m")
+
+    def multiply(t: pa.Table, model: pa.Table) -> pa.Table:
+        c = _matrix(t.column("vector"))
+        y = c @ np.frombuffer(model.column("m")[0].as_py()).reshape(c.shape[1], -1)
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1, dtype=np.int32) * y.shape[1]), pa.array(y.ravel()))
+        return pa.table({group: t.column(group), "id": t.column("id"), "vector": flat})
+
+    return rows.groupBy(group, "part").cogroup(models.groupBy("__group", "__part")).applyInArrow(multiply, f"{own}, id {kind[id_col]}, vector array<double>")
 
 
 def concept_tree(vectors: DataFrame, depth: int = 3, min_size: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK, tile: int = TILE) -> DataFrame:

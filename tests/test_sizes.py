@@ -58,6 +58,15 @@ def test_greedy_clusters_in_order(crowd):
     assert [got[r[0]] for r in rows] == want and 3 < max(want) < 100
 
 
+def test_transforms_in_parts(crowd):
+    rows, df = crowd
+    for f, whole in ((lambda: K.residual_vectors(df, "label"), K.residuals), (lambda: K.whitened_vectors(df, "label", most=9, block=11), lambda x: K.whitened(x, most=9))):
+        got = {r["id"]: r["vector"] for r in f().collect()}
+        for label in (0, 1, 2, 9):
+            own = [r for r in rows if r[1] == label]
+            assert np.allclose([got[r[0]] for r in own], whole(_of(own)), atol=1e-7)
+
+
 def test_tree_in_blocks(crowd):
     rows, df = crowd
     level, want = {"0": rows}, []
