@@ -7,7 +7,7 @@ definition, is one task that holds its centres; transforms are moments of each s
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,17 +17,11 @@ from pyspark.sql import functions as F
 
 from loomgraph.session import stored
 
+from .blocks import BLOCK, TILE, in_parts, matrix, meeting, spans, unit
 from .corpus import one_row
 
 #: Rows of one set that a task of labelled() takes (n x n distances: 8 bytes each).
 MOST = 8_000
-#: Rows of a block of a set, two of which meet in a task, and of the tiles that the task takes them in.
-BLOCK, TILE = 16_384, 2_048
-
-
-def _unit(x: np.ndarray) -> np.ndarray:
-    n = np.linalg.norm(x, axis=1, keepdims=True)
-    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
 def _distance(u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -48,7 +42,7 @@ def density_labels(x: np.ndarray, min_size: int = 3, min_samples: int = 2) -> np
     n = len(x)
     if n < min_size:
         return np.full(n, -1)
-    u = _unit(x)
+    u = unit(x)
     d = _distance(u, u)
     core = np.sort(d, axis=1)[:, min(min_samples, n) - 1]
     reach = np.maximum(d, np.maximum(core[:, None], core[None, :]))
@@ -219,7 +213,7 @@ class Greedy:
 
     def take(self, x: np.ndarray) -> np.ndarray:
         label = np.zeros(len(x), np.int64)
-        for k, (v, u) in enumerate(zip(x, _unit(x))):
+        for k, (v, u) in enumerate(zip(x, unit(x))):
             c = self.units[: self.n] @ u if self.n else np.zeros(0)
             best = int(np.argmax(c)) if self.n else -1
             if best < 0 or not c[best] > self.threshold:
@@ -228,7 +222,7 @@ class Greedy:
                 self.n += 1
             self.sums[best] += v
             self.counts[best] += 1
-            self.units[best] = _unit((self.sums[best] / self.counts[best])[None])[0]
+            self.units[best] = unit((self.sums[best] / self.counts[best])[None])[0]
             label[k] = best
         return label
 
@@ -240,11 +234,6 @@ class Greedy:
             self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
 
 
-def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-
-
 def greedy_clusters(vectors: DataFrame, threshold: float = 0.82, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(id, cluster) of greedy_labels() over all rows in the order of their ids. Each row depends on those before it, so this is
     one task; it reads a batch of sorted rows at a time and holds the centres alone."""
@@ -254,35 +243,11 @@ def greedy_clusters(vectors: DataFrame, threshold: float = 0.82, id_col: str = "
         g = Greedy(threshold)
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(g.take(_matrix(b.column(1))))], names=["id", "cluster"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(g.take(matrix(b.column(1))))], names=["id", "cluster"])
 
     return rows.repartition(1).sortWithinPartitions("id").mapInArrow(run, f"id {dict(rows.dtypes)['id']}, cluster long")
 
 
-def in_parts(rows: DataFrame, group: str, block: int = BLOCK) -> DataFrame:
-    """rows (group, id, ..) with part, one of the `parts` of about `block` rows of their group of `size`, by a hash of their ids."""
-    n = rows.groupBy(F.col(group).alias("__of")).agg(F.count("*").alias("size"), F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    return rows.join(n, F.col(group).eqNullSafe(F.col("__of"))).drop("__of").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-
-
-def meeting(parted: DataFrame, group: str, f: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """f(rows, rows) of any two parts of each group of in_parts(), each pair of parts one task; of a part with itself, f(rows, None).
-    A row is sent to as many tasks as its group has parts."""
-    other = parted.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = other.withColumn("lo", F.least("part", "__other")).withColumn("hi", F.greatest("part", "__other")).drop("__other")
-
-    def run(t: pa.Table) -> pa.Table:
-        lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
-        own = np.asarray(t.column("part")) == lo
-        return f(t, None) if lo == hi else f(t.filter(pa.array(own)), t.filter(pa.array(~own)))
-
-    return rows.groupBy(group, "lo", "hi").applyInArrow(run, schema)
-
-
-def _spans(n: int, step: int) -> list[slice]:
-    return [slice(k, min(k + step, n)) for k in range(0, n, step)]
-
-
 def _lowest(best: np.ndarray, d: np.ndarray) -> np.ndarray:
     """The least values of each row of best and d, as many as best has."""
     m = best.shape[1]
@@ -293,11 +258,11 @@ def _cores(parted: DataFrame, group: str, kind: dict[str, str], m: int, tile: in
     """(group, id, core): each row's cosine distance to its m-th nearest other row of the group, or the farthest if there are fewer."""
 
     def near(x: pa.Table, y: pa.Table | None) -> pa.Table:
-        u = _unit(_matrix(x.column("v")))
-        v = u if y is None else _unit(_matrix(y.column("v")))
+        u = unit(matrix(x.column("v")))
+        v = u if y is None else unit(matrix(y.column("v")))
         best, theirs = np.full((len(u), m), np.inf), np.full((len(v), m), np.inf)
-        for r in _spans(len(u), tile):
-            for c in _spans(len(v), tile):
+        for r in spans(len(u), tile):
+            for c in spans(len(v), tile):
                 d = _distance(u[r], v[c])
                 if y is None and r == c:
                     np.fill_diagonal(d, np.inf)
@@ -339,10 +304,10 @@ def density_clusters(vectors: DataFrame, group: str | None = None, min_size: int
     reached = parted.join(core.withColumnRenamed(own, "__of"), "id").filter(F.col(own).eqNullSafe(F.col("__of"))).drop("__of")
 
     def trees(x: pa.Table, y: pa.Table | None) -> pa.Table:
-        sides = [(_unit(_matrix(t.column("v"))), np.asarray(t.column("core")), np.asarray(t.column("id"))) for t in (x, y) if t is not None]
+        sides = [(unit(matrix(t.column("v"))), np.asarray(t.column("core")), np.asarray(t.column("id"))) for t in (x, y) if t is not None]
         found = []
-        for s, r in enumerate(_spans(len(x), tile)):
-            for k, c in enumerate(_spans(len(sides[-1][0]), tile)):
+        for s, r in enumerate(spans(len(x), tile)):
+            for k, c in enumerate(spans(len(sides[-1][0]), tile)):
                 if y is None and k < s:
                     continue
                 d = np.maximum(_distance(sides[0][0][r], sides[-1][0][c]), np.maximum(sides[0][1][r][:, None], sides[-1][1][c][None, :]))
@@ -428,10 +393,10 @@ def whitened_vectors(vectors: DataFrame, group: str, ridge: float = 1e-5, most:
     rows = stored(in_parts(residual_vectors(vectors, group, id_col, vec_col), group, block), "whitening-rows")
 
     def products(t: pa.Table) -> pa.Table:
-        c = _matrix(t.column("vector"))
+        c = matrix(t.column("vector"))
         return pa.table({group: t.column(group).slice(0, 1), "n": pa.array([len(c)]), "dims": pa.array([c.shape[1]]), "gram": pa.array([(c.T @ c).tobytes()], pa.binary())})
 
-    def matrix(t: pa.Table) -> pa.Table:
+    def model(t: pa.Table) -> pa.Table:
         d, n = t.column("dims")[0].as_py(), int(np.asarray(t.column("n")).sum())
         gram = sum(np.frombuffer(g.as_py()).reshape(d, d) for g in t.column("gram"))
         keep = np.argsort(-np.diag(gram), kind="stable")[:most]
@@ -442,12 +407,12 @@ def whitened_vectors(vectors: DataFrame, group: str, ridge: float = 1e-5, most:
 
     own = f"{group} {kind[group]}"
     grams = rows.groupBy(group, "part").applyInArrow(products, f"{own}, n long, dims long, gram binary")
-    models = grams.groupBy(group).applyInArrow(matrix, f"{own}, m binary").withColumnRenamed(group, "__of")
+    models = grams.groupBy(group).applyInArrow(model, f"{own}, m binary").withColumnRenamed(group, "__of")
     parts = rows.select(F.col(group).alias("__group"), F.col("part").alias("__part")).distinct()
     models = parts.join(models, F.col("__group").eqNullSafe(F.col("__of"))).select("__group", "__part", "m")
 
     def multiply(t: pa.Table, model: pa.Table) -> pa.Table:
-        c = _matrix(t.column("vector"))
+        c = matrix(t.column("vector"))
         y = c @ np.frombuffer(model.column("m")[0].as_py()).reshape(c.shape[1], -1)
         flat = pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1, dtype=np.int32) * y.shape[1]), pa.array(y.ravel()))
         return pa.table({group: t.column(group), "id": t.column("id"), "vector": flat})

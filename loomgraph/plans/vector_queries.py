@@ -27,20 +27,17 @@ class Space:
     def __init__(self, spark, d):
         self.v = table(spark, d, "embeddings").filter(F.col("embedding").isNotNull())
         self.q = self.v.filter("vec_id % 50 = 0")
-        self.n = None
         self.members = self.v.select(F.col("vec_id").alias("id"), F.col("label").alias("cluster"))
 
     def all_scores(self):
         """Scores of every row for the stated queries."""
-        n = self.v.count()
-        return V.knn(self.q, self.v, n)
+        return V.scores(self.q, self.v)
 
     def cent(self):
         return V.centroids(self.v)
 
     def qc(self):
-        c = self.cent()
-        return V.knn(self.q, c, 1000, c_id="label", c_vec="centroid").select("qid", F.col("id").alias("cluster"), "score")
+        return V.scores(self.q, self.cent(), c_id="label", c_vec="centroid").select("qid", F.col("id").alias("cluster"), "score")
 
     def edges(self, least=0.0):
         p = V.similar_pairs(self.cent(), least, "label", "centroid")
@@ -138,8 +135,7 @@ SELECT * FROM (SELECT qid, id, score, """ + TOP10 + " AS rk FROM r WHERE score I
 def _(spark, d):
     s = Space(spark, d)
     cs = R.spread(s.qc(), s.edges())
-    r = R.cluster_records(cs, s.all_scores().select("qid", "id", "score"), s.members).select("qid", "id", F.round("score", 6).alias("score"))
-    return R.top(r.filter("score is not null"), 10)
+    return R.cluster_records(cs, s.q, s.v, 10)
 
 
 @query("ret_13_concept_tree_dig", "WITH " + COS + """, near AS (SELECT qid, label FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, label) AS r FROM qc) WHERE r = 1),
@@ -148,9 +144,7 @@ u AS (SELECT qid, id, s AS score FROM dense WHERE rk <= 20 UNION ALL SELECT * FR
 SELECT * FROM (SELECT qid, id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, id) AS rk FROM u) WHERE rk <= 30""")
 def _(spark, d):
     s = Space(spark, d)
-    every = s.all_scores().select("qid", "id", "score", "rk")
-    rows = R.dig(every.filter("rk <= 20"), s.qc(), s.edges(), s.members, every.drop("rk")).select("qid", "id", F.round("score", 6).alias("score"))
-    return R.top(rows, 30)
+    return R.dig(s.q, s.v, s.qc(), s.edges(), 20, 30)
 
 
 @query("ret_15_residual", "WITH " + COS + """, near AS (SELECT qid, label FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, label) AS r FROM qc) WHERE r = 1),
@@ -160,11 +154,7 @@ def _(spark, d):
     s = Space(spark, d)
     near = R.top(s.qc(), 1, tie="cluster").select("qid", "cluster")
     cent = s.cent().select(F.col("label").alias("cluster"), "centroid")
-    minus = lambda a, b: F.zip_with(a, b, lambda x, y: x.cast("double") - y)
-    q = near.join(cent, "cluster").join(s.q.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qe")), "qid").select("qid", "cluster", "centroid", minus("qe", "centroid").alias("qr"))
-    own = q.join(s.v.select(F.col("vec_id").alias("id"), F.col("label").alias("cluster"), "embedding"), "cluster")
-    own = own.select("qid", "id", F.round(V.cosine(F.col("qr"), minus("embedding", "centroid")), 6).alias("score"))
-    return R.residual_scores(s.all_scores().select("qid", "id", "score"), s.members, own).select("qid", "id", F.round("score", 7).alias("score"))
+    return R.residual_scores(s.q, s.v, cent, near).select("qid", "id", F.round("score", 7).alias("score"))
 
 
 @query("ret_16_cluster_boost", "WITH " + COS + """, near AS (SELECT qid, label FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, label) AS r FROM qc) WHERE r <= 4),
@@ -201,7 +191,7 @@ SELECT * FROM (SELECT qid, id, score, """ + TOP10 + " AS rk FROM u) WHERE rk <=
 def _(spark, d):
     s = Space(spark, d)
     other = s.v.filter("vec_id % 50 = 1").select((F.col("vec_id") - 1).alias("qid"), "embedding")
-    rows = R.max_merge(V.knn(s.q, s.v, 50), V.knn(other, s.v, 50, q_id="qid")).select("qid", "id", F.round("score", 6).alias("score"))
+    rows = R.max_merge(V.knn(s.q, s.v, 50), V.knn(other, s.v, 50, q_id="qid")).select("qid", "id", (F.round(F.col("score") * 1e6) / 1e6).alias("score"))
     return R.top(rows, 10)
 
 
@@ -210,10 +200,8 @@ cs AS (SELECT f.qid, f.label, greatest(f.s, coalesce(nb.s, f.s)) AS s FROM f LEF
 SELECT * FROM (SELECT qid, id, score, """ + TOP10 + " AS rk FROM r WHERE score IS NOT NULL) WHERE rk <= 10")
 def _(spark, d):
     s = Space(spark, d)
-    every = s.all_scores().select("qid", "id", "score")
-    mean = every.join(s.members, "id").groupBy("qid", "cluster").agg(F.avg("score").alias("score"))
-    r = R.cluster_records(R.spread(mean, s.edges()), every, s.members).select("qid", "id", F.round("score", 6).alias("score"))
-    return R.top(r.filter("score is not null"), 10)
+    mean = V.score_moments(s.q, s.v, "label").select("qid", F.col("label").alias("cluster"), F.col("mean").alias("score"))
+    return R.cluster_records(R.spread(mean, s.edges()), s.q, s.v, 10)
 
 
 @query("clu_02_component_activation", "WITH " + VECTORS + ", l AS (SELECT vec_id, d, e[d] AS x FROM (SELECT vec_id, e, unnest(range(1, len(e) + 1)) AS d FROM v)), t AS (SELECT d FROM (SELECT d, row_number() OVER (ORDER BY round(var_pop(x), 6) DESC, d) AS rk FROM l GROUP BY d) WHERE rk <= 8) SELECT (d - 1)::BIGINT AS dim, vec_id AS id FROM (SELECT l.*, row_number() OVER (PARTITION BY d ORDER BY x DESC, vec_id) AS rk FROM l JOIN t USING (d)) WHERE rk <= (SELECT floor(count(*) * 0.2) FROM v)")

@@ -4,6 +4,9 @@ import numpy as np
 import pytest
 
 from loomgraph.operators import cluster as K
+from loomgraph.operators import metrics as M
+from loomgraph.operators import ranking as R
+from loomgraph.operators import vectors as V
 
 
 @pytest.fixture(scope="module")
@@ -80,3 +83,96 @@ def test_tree_in_blocks(crowd):
                     want.append((f"{node}.{c}", node, k, r[0]))
         level = nxt
     assert sorted(tuple(r) for r in K.concept_tree(df, block=40, tile=16).collect()) == sorted(want) and {w[2] for w in want} == {0, 1, 2}
+
+
+@pytest.fixture(scope="module")
+def space(spark):
+    """More products of queries (ids divisible by 3) and rows than a tile has, many of them ties."""
+    rng = np.random.default_rng(3)
+    n = 2100
+    v = rng.integers(-2, 3, (n, 6)).astype(float)
+    v[:4] = 0
+    label = np.arange(n) % 5
+    df = spark.createDataFrame([(i, int(label[i]), v[i].tolist()) for i in rng.permutation(n).tolist()], "vec_id long, label int, embedding array<double>").repartition(3)
+    u = K.unit(v)
+    return df, df.filter("vec_id % 3 = 0"), np.round(u @ u.T, 6), label
+
+
+def _best(s, k):
+    """(column, score) of the k largest of a row, ties by column, without NaN."""
+    return [(int(j), float(s[j])) for j in np.lexsort((np.arange(len(s)), -s)) if s[j] > -np.inf][:k]
+
+
+def test_search_holds_few_candidates():
+    rng = np.random.default_rng(1)
+    s = np.round(rng.random((40, 300_000)), 3)
+    found, most = V.Best(40, 5), 0
+    for k in range(0, s.shape[1], 5000):
+        found.add(s[:, k : k + 5000], np.arange(k, k + 5000))
+        most = max(most, found.some)
+    i, x, ids = found.cut()
+    assert all(list(zip(ids[i == q].tolist(), x[i == q].tolist())) == _best(s[q], 5) for q in range(40))
+    assert most <= 2 * 40 * 5 + V.TILE // 4
+
+
+def test_searches_in_tiles(space):
+    df, q, s, label = space
+    assert q.count() * df.count() > V.TILE
+    for k, block in ((7, 4096), (1, 64)):
+        got = {}
+        for r in V.knn(q, df, k, block=block).orderBy("qid", "rk").collect():
+            got.setdefault(r["qid"], []).append((r["id"], r["score"]))
+        assert got == {i: _best(s[i], k) for i in range(0, len(s), 3)}
+    rows = V.scores(q, df).collect()
+    assert len(rows) == 700 * 2100 and all(s[r["qid"], r["id"]] == r["score"] for r in rows)
+    m = {r["qid"]: r for r in V.score_moments(q, df).collect()}
+    by = {(r["qid"], r["label"]): r["mean"] for r in V.score_moments(q, df, "label").collect()}
+    for i in range(0, len(s), 3):
+        assert abs(m[i]["mean"] - s[i].mean()) < 1e-9 and abs(m[i]["deviation"] - s[i].std()) < 1e-9
+        assert all(abs(by[i, c] - s[i][label == c].mean()) < 1e-9 for c in range(5))
+    fit, like = label[::3, None] == label[None, :], s[::3] >= 0.5
+    want = {"TP": (fit & like).sum(), "HSS": (~fit & like).sum(), "LHS": (fit & ~like).sum(), "TN": (~fit & ~like).sum()}
+    assert {r["cell"]: r["n"] for r in R.cells(q, df, 0.5).collect()} == want
+
+
+def test_weighed_searches(spark, space):
+    df, q, s, label = space
+    w = np.array([[(i * 7 + c * 3) % 11 / 10 - 0.3 for c in range(5)] for i in range(len(s))])
+    cs = spark.createDataFrame([(i, c, float(w[i, c])) for i in range(0, len(s), 3) for c in range(4)], "qid long, cluster int, score double")
+    got = {}
+    for r in R.cluster_records(cs, q, df, 9).orderBy("qid", "rk").collect():
+        got.setdefault(r["qid"], []).append((r["id"], r["score"]))
+    for i in range(0, len(s), 3):
+        p = w[i, label] * s[i]
+        p = np.where((label < 4) & (p >= 0), np.round(np.sqrt(np.abs(p)), 6), -np.inf)
+        assert got[i] == _best(p, 9)
+    near = spark.createDataFrame([(i, c, float(c == i % 5)) for i in range(0, len(s), 3) for c in range(5)], "qid long, cluster int, score double")
+    edges = spark.createDataFrame([(c, (c + d) % 5) for c in range(5) for d in (1, 2)], "src int, dst int")
+    got = {}
+    for r in R.dig(q, df, near, edges, 20, 30).orderBy("qid", "rk").collect():
+        got.setdefault(r["qid"], []).append((r["id"], r["score"]))
+    for i in range(0, len(s), 3):
+        first = [j for j, _ in _best(s[i], 20)]
+        p = np.where(np.isin(label, [(i + 1) % 5, (i + 2) % 5]), np.round(0.8 * s[i], 6), -np.inf)
+        p[first] = s[i][first]
+        assert [j for j, _ in got[i]] == [j for j, _ in _best(p, 30)] and np.allclose([x for _, x in got[i]], [x for _, x in _best(p, 30)], atol=1e-9)
+
+
+def test_distances_within_labels(space):
+    df, _, s, label = space
+    pairs = np.array([s[i, j] for c in range(5) for k, i in enumerate(np.flatnonzero(label == c)) for j in np.flatnonzero(label == c)[k + 1 :]])
+    want = np.bincount(np.minimum(np.floor((1 - pairs) / 2 * 20), 19).astype(int), minlength=20)
+    for block in (None, 100):
+        assert {r["bin"]: r["n"] for r in V.distances_within(df, block=block).collect()} == {b: n for b, n in enumerate(want.tolist()) if n}
+
+
+def test_ideal_gain_of_counted_grades(spark):
+    """Queries with fewer and more relevant rows than ranks, grades with ties."""
+    rng = np.random.default_rng(2)
+    grades = {q: rng.integers(1, 4, n).tolist() for q, n in enumerate((1, 3, 10, 25))}
+    qrels = spark.createDataFrame([(q, i, g) for q, gs in grades.items() for i, g in enumerate(gs)] + [(0, 99, 0)], "qid long, id long, grade long")
+    results = spark.createDataFrame([(q, i, i + 1) for q in grades for i in range(0, 12)], "qid long, id long, rk int")
+    gain = lambda gs: sum(g / np.log2(i + 2) for i, g in enumerate(gs[:10]))
+    got = {r["qid"]: r for r in M.rank_metrics(results, qrels).collect()}
+    for q, gs in grades.items():
+        assert got[q]["ndcg"] == pytest.approx(gain(gs) / gain(sorted(gs, reverse=True))) and got[q]["recall"] == pytest.approx(min(len(gs), 10) / len(gs))
