@@ -92,9 +92,7 @@ def _(spark, d):
 
 @query("agg_09_distance_histogram", "WITH " + VECTORS + " SELECT least(floor((1 - round(list_cosine_similarity(a.e, b.e), 6)) / 2 * 20), 19)::BIGINT AS bin, count(*) AS n FROM v a JOIN v b ON a.vec_id < b.vec_id AND a.label = b.label GROUP BY 1")
 def _(spark, d):
-    v = Space(spark, d)
-    p = V.similar_pairs(v.v, -2.0).join(v.v.select(F.col("vec_id").alias("a"), F.col("label").alias("la")), "a").join(v.v.select(F.col("vec_id").alias("b"), F.col("label").alias("lb")), "b")
-    return V.distance_histogram(p.filter("la = lb"), 20)
+    return V.distances_within(Space(spark, d).v, "label", 20)
 
 
 @query("agg_10_separation", "WITH " + VECTORS + ", p AS (SELECT a.label = b.label AS same, 1 - list_cosine_similarity(a.e, b.e) AS dist FROM v a JOIN v b ON a.vec_id < b.vec_id), s AS (SELECT avg(dist) FILTER (WHERE same) AS w, avg(dist) FILTER (WHERE NOT same) AS b FROM p) SELECT round(w, 6) AS within, round(b, 6) AS between, round((b - w) / greatest(b, w), 6) AS proxy FROM s")
