@@ -223,5 +223,4 @@ def _(spark, d):
 @query("met_09_cells", "WITH " + COS + " SELECT CASE WHEN d.s >= 0.3 AND v.label = d.label THEN 'TP' WHEN d.s >= 0.3 THEN 'HSS' WHEN v.label = d.label THEN 'LHS' ELSE 'TN' END AS cell, count(*) AS n FROM cos d JOIN v ON v.vec_id = d.qid GROUP BY 1")
 def _(spark, d):
     s = Space(spark, d)
-    rows = s.all_scores().join(s.members, "id").join(s.q.select(F.col("vec_id").alias("qid"), "label"), "qid")
-    return rows.groupBy(R.cell(F.col("score"), F.col("cluster") == F.col("label"), 0.3).alias("cell")).agg(F.count("*").alias("n"))
+    return R.cells(s.q, s.v, 0.3)
