@@ -171,7 +171,7 @@ def _(spark, d):
 def _(spark, d):
     s = Space(spark, d)
     k = V.knn(s.q, s.v, 100)
-    rel = s.q.select(F.col("vec_id").alias("qid"), F.col("label").alias("cluster")).join(s.members, "cluster").filter("qid <> id")
+    rel = k.join(s.q.select(F.col("vec_id").alias("qid"), F.col("label").alias("own")), "qid").join(s.members, "id").filter("own = cluster and qid <> id")
     return R.steps_to_hit(k, rel)
 
 
