@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from loomgraph.operators import cluster as K
+from loomgraph.operators import concepts as C
 from loomgraph.operators import metrics as M
 from loomgraph.operators import ranking as R
 from loomgraph.operators import vectors as V
@@ -176,3 +177,9 @@ def test_ideal_gain_of_counted_grades(spark):
     got = {r["qid"]: r for r in M.rank_metrics(results, qrels).collect()}
     for q, gs in grades.items():
         assert got[q]["ndcg"] == pytest.approx(gain(gs) / gain(sorted(gs, reverse=True))) and got[q]["recall"] == pytest.approx(min(len(gs), 10) / len(gs))
+
+
+def test_entity_tokens_without_short_verb_forms(spark):
+    words = ["ring", "running", "owed", "need", "fed", "stone"]
+    tokens = spark.createDataFrame([("c", w, 2) for w in words], "chunk_id string, word string, tf long")
+    assert {r["word"] for r in C.entity_tokens(tokens).collect()} == {"need", "stone"}
