@@ -9,13 +9,14 @@ import ast
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from loomgraph.functions import text as T
+from loomgraph.session import stored
 
-from .concepts import attributes
+from .concepts import attributes, role_words_ok
 from .corpus import one_row
 from .vectors import cosine
 
@@ -68,6 +69,35 @@ def role_words(readout: DataFrame, siblings: DataFrame, corpus_words: DataFrame,
     return attributes(rows, "key", n).select("key.*", "word", "rk")
 
 
+def concept_role_words(adjacent: DataFrame, members: DataFrame, corpus_words: DataFrame, n: int = 5) -> DataFrame:
+    """role_words() where a concept's words (src, dst, prob) are the same on all its chunks (members: chunk_id, concept).
+
+    What depends on the concept alone is done once a concept. A chunk can only take out words by stem: of s stems of a chunk, the n
+    best forms that are left are among the concept's first n + s forms, each by one of its first s + 1 stems. So a chunk meets a short
+    list of each of its concepts, and not all its neighbours.
+    """
+    stems = members.select("chunk_id", "concept", T.stem("concept").alias("stem"))
+    near = stored(stems.join(stems.groupBy("chunk_id").agg(F.collect_set("stem").alias("stems")), "chunk_id").select("chunk_id", "concept", "stems"), "chunk-stems")
+    s = near.agg(F.max(F.size("stems"))).first()[0] or 0
+    rows = adjacent.select(F.col("src").alias("concept"), F.lower("dst").alias("word"), F.col("prob").alias("score"))
+    rows = rows.filter(role_words_ok("word") & (T.stem("word") != T.stem("concept"))).join(corpus_words.select("word").distinct(), "word", "left_semi")
+    rows = rows.withColumn("stem", T.stem("word")).withColumn("form", T.dedupe_stem("word"))
+    order = [F.desc("score"), F.col("word")]
+    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy("concept", "stem").orderBy(*order))).filter("i = 1")
+    in_form = Window.partitionBy("concept", "form").orderBy(*order)
+    rows = rows.withColumn("i", F.row_number().over(in_form)).withColumn("first", F.first(F.struct((-F.col("score")).alias("s"), "word")).over(in_form)).filter(F.col("i") <= s + 1)
+    rows = rows.withColumn("rk", F.dense_rank().over(Window.partitionBy("concept").orderBy("first"))).filter(F.col("rk") <= n + s)
+    lists = rows.groupBy("concept").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "word", "stem", "form"))).alias("words"))
+    none = F.struct(F.expr("cast(array() as array<string>)").alias("forms"), F.expr("cast(array() as array<string>)").alias("words"))
+
+    def take(a: Column, w: Column) -> Column:
+        skip = (F.size(a["words"]) >= n) | F.array_contains(F.col("stems"), w["stem"]) | F.array_contains(a["forms"], w["form"])
+        return F.when(skip, a).otherwise(F.struct(F.array_append(a["forms"], w["form"]).alias("forms"), F.array_append(a["words"], w["word"]).alias("words")))
+
+    got = near.join(lists, "concept").select("chunk_id", "concept", F.posexplode(F.aggregate("words", none, take, lambda a: a["words"])).alias("rk", "word"))
+    return got.select("chunk_id", "concept", "word", (F.col("rk") + 1).alias("rk"))
+
+
 def mean_vectors(rows: DataFrame, key: str = "concept", vec_col: str = "vector") -> DataFrame:
     """(key, vector, count): the mean of a concept's vectors over its occurrences."""
     dims = rows.select(key, F.posexplode(vec_col).alias("dim", "x")).groupBy(key, "dim").agg(F.avg(F.col("x").cast("double")).alias("x"), F.count("*").alias("n"))
