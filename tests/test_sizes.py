@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import cluster as K
 from loomgraph.operators import concepts as C
+from loomgraph.operators import corpus as O
 from loomgraph.operators import graph as G
 from loomgraph.operators import metrics as M
 from loomgraph.operators import ranking as R
+from loomgraph.operators import spans as S
+from loomgraph.operators import tensor as N
 from loomgraph.operators import vectors as V
 from loomgraph.session import stored
 
@@ -263,3 +266,43 @@ def test_tau_of_many_rows():
     # All pairs of these would take half an hour.
     assert M.tau_b(np.arange(1_000_000), np.arange(1_000_000)[::-1] // 2) == pytest.approx(-1, abs=1e-6)
     assert M.tau_b(np.ones(5), np.arange(5)) is None and M.tau_b(np.ones(1), np.ones(1)) is None
+
+
+def test_ranks_of_many_questions_and_nodes(spark):
+    """More questions than a task walks for at once, more nodes than a block names, edges to and from a hub."""
+    n, steps = 5000, 4
+    rng = np.random.default_rng(8)
+    e = [(i, (i + d) % n, float(d)) for i in range(n) for d in (1, 3)] + [(i, 0, 0.5) for i in range(1, n, 3)] + [(0, i, 1.0) for i in range(5, 900)]
+    reset = [(q, int(i), float(q % 3 + 1)) for q in range(40) for i in rng.integers(0, n, 3)]
+    name = lambda i: f"n{i}"
+    got = {(r["qid"], r["node"]): r["p"] for r in G.page_rank(spark.createDataFrame([(name(i), name(j), w) for i, j, w in e], "src string, dst string, w double"), spark.createDataFrame([(q, name(i), s) for q, i, s in reset], "qid long, node string, s double"), 0.5, steps).collect()}
+    src, dst, w = (np.array(x) for x in zip(*e))
+    share = w / np.bincount(src, w, n)[src]
+    s = np.zeros((n, 40))
+    for q, i, x in reset:
+        s[i, q] += x
+    s /= s.sum(0)
+    p = s
+    for _ in range(steps):
+        new = 0.5 * s
+        np.add.at(new, dst, 0.5 * p[src] * share[:, None])
+        p = new
+    assert len(got) == (p > 0).sum() and all(abs(got[q, name(i)] - p[i, q]) < 1e-12 for i, q in np.argwhere(p > 0).tolist())
+
+
+def test_ridge_questions_are_tasks_of_their_own(spark):
+    cells = spark.createDataFrame([("a", "x", 1.0), ("b", "x", 2.0), ("b", "y", 1.0)], "concept string, chunk_id string, w double")
+    own = spark.createDataFrame([(q, c) for q in range(30) for c in "ab"], "qid long, concept string")
+    got = N.ridge_weights(own, cells, 1.0)
+    assert len({r["qid"] for r in got.collect()}) == 30 and got.rdd.getNumPartitions() >= 30
+
+
+def test_multiwords(spark):
+    text = "the deep river flows. deep river, old mill; deep river flows on and old mill turns"
+    chunks = spark.createDataFrame([(k, text if k else "river deep") for k in range(4)], "chunk_id long, text string")
+    tokens = spark.createDataFrame([(k, w) for k in range(4) for w in ("river", "turns")], "chunk_id long, word string")
+    grams = O.ngrams(chunks, 1, stop=()).union(O.ngrams(chunks, 2, stop=()))
+    got = {}
+    for r in S.multiwords(chunks, tokens, grams).collect():
+        got.setdefault(r["chunk_id"], set()).add(r["span"])
+    assert got == {0: {"river"}} | {k: {"deep river", "the deep river flows", "deep river flows on and", "on and old mill turns"} for k in (1, 2, 3)}
