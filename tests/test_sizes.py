@@ -306,3 +306,21 @@ def test_multiwords(spark):
     for r in S.multiwords(chunks, tokens, grams).collect():
         got.setdefault(r["chunk_id"], set()).add(r["span"])
     assert got == {0: {"river"}} | {k: {"deep river", "the deep river flows", "deep river flows on and", "on and old mill turns"} for k in (1, 2, 3)}
+
+
+def test_cells_of_a_tensor_stay_off_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    cells = {(int(a), int(b)) for a, b in rng.integers(0, 40, (150, 2)) if a != b}
+    coo = spark.createDataFrame([(f"n{a:02}", "near" if (a + b) % 2 else "far", f"n{b:02}", 1.0 + a % 3) for a, b in sorted(cells)], "a string, bucket string, b string, v double")
+    (at, v), names, buckets = N.sparse(coo)
+    y = np.einsum("ir,jr,kr->ijk", *N.cp_factors((at, v), (len(names), 2, len(names)), 5, 0.1)[0]).max(1)
+    y[at[:, 0], at[:, 2]] = 0
+    np.fill_diagonal(y, 0)
+    want = np.sort(y[y > 0])[::-1][: int(len(at) * 0.2)]
+    for name in ("toPandas", "toArrow"):
+        monkeypatch.setattr(type(coo), name, lambda self: pytest.fail("cells are brought to the driver"))
+    got = N.completion(coo, rank=5, ridge=0.1).collect()
+    assert np.allclose(sorted((r["prob"] for r in got), reverse=True), want / want[0])
+    assert not {(r["a"], r["b"]) for r in got} & {(f"n{a:02}", f"n{b:02}") for a, b in cells}
+    grid = spark.createDataFrame([(2, 0.1, 0), (3, 1.0, 1)], "rank int, ridge double, seed int")
+    assert [0 <= r["auc"] <= 1 for r in N.holdout_grid(coo, grid).collect()] == [True, True]
